@@ -33,20 +33,26 @@ def strip_comments(files: DataFrame, text: str = "text") -> DataFrame:
     return files.withColumn(text, T.without_comments(F.col(text)))
 
 
+def _type_and_name(declared: Column) -> Column:
+    words = F.split(declared, r"\s+", 2)
+    return F.struct(F.get(words, 0).alias("type"), F.get(words, 1).alias("name"))
+
+
 def extract_variables(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Lines to declared variables: (file, line_no, type, name, comment).
 
     Only the shape of a line counts, so ``end X`` is read as a declaration too;
-    ``strict`` leaves out rows whose type or name is a keyword.
+    ``strict`` leaves out rows whose type or name is a keyword. The match is a
+    generator, not a filter, so that later null checks do not run it again.
     """
-    declared = F.regexp_extract("line", T.DECLARATION, 1)
-    found = lines.select("file", "line_no", "line", declared.alias("decl")).filter("decl <> ''")
-    words = F.split("decl", r"\s+", 2)
-    variables = found.select(
+    declared = F.transform(
+        F.regexp_extract_all("line", F.lit(T.DECLARATION), F.lit(1)), _type_and_name
+    )
+    variables = lines.select("file", "line_no", "line", F.inline(declared)).select(
         "file",
         "line_no",
-        words[0].alias("type"),
-        words[1].alias("name"),
+        "type",
+        "name",
         T.matched(F.col("line"), T.DECLARATION_COMMENT, 1).alias("comment"),
     )
     if strict:
@@ -57,13 +63,14 @@ def extract_variables(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 def extract_classes(lines: DataFrame) -> DataFrame:
     """Lines that open a class: (file, line_no, restriction, class_name)."""
-    found = lines.filter(F.rlike("line", F.lit(T.CLASS_OPENING)))
-    return found.select(
-        "file",
-        "line_no",
-        F.regexp_extract("line", T.CLASS_OPENING, 1).alias("restriction"),
-        F.regexp_extract("line", T.CLASS_OPENING, 2).alias("class_name"),
+    opened = F.transform(
+        F.regexp_extract_all("line", F.lit(T.CLASS_OPENING), F.lit(0)),
+        lambda o: F.struct(
+            F.regexp_extract(o, T.CLASS_OPENING, 1).alias("restriction"),
+            F.regexp_extract(o, T.CLASS_OPENING, 2).alias("class_name"),
+        ),
     )
+    return lines.select("file", "line_no", F.inline(opened))
 
 
 def first_declaration(variables: DataFrame) -> DataFrame:

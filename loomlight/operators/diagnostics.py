@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
 from loomlight.functions import text as T
-from loomlight.operators.ordering import salted_join
+from loomlight.operators.ordering import lookup_join
 
 # The log syntax of the first dialect. A word is a run of these
 # characters; repeats are possessive, so a long log is scanned without backtracking.
@@ -31,6 +31,7 @@ B_WARNING = r"Warning: in file '([^']+)':\n\w+ line (\d+), column (\d+):\n\s*(.*
 CHECK_COUNTS = r"Class (\S+) has (\d+) equation\(s\) and (\d+) variable\(s\)"
 CHECK_TRIVIAL = r"(\d+) of these are trivial equation"
 
+GROUP_BREAK = "\x01"
 POSITIONED_FORM, PROCESSING_FORM, BARE_FORM, UNREADABLE_FORM = 1, 2, 3, 4
 
 
@@ -55,10 +56,12 @@ def diagnostics_a(logs: DataFrame, text: str = "text") -> DataFrame:
     a processed file, else bare errors, else one row that holds the log."""
     log = F.col(text)
     kept = [c for c in logs.columns if c != text]
+    bracketed = F.contains(log, F.lit("["))
+    positioned = F.when(bracketed, F.regexp_extract_all(log, F.lit(POSITIONED), F.lit(0)))
     forms = logs.filter(F.contains(log, F.lit("Error"))).select(
         *kept,
         log.alias("_log"),
-        F.regexp_extract_all(log, F.lit(POSITIONED), F.lit(0)).alias("_positioned"),
+        F.coalesce(positioned, F.array().cast("array<string>")).alias("_positioned"),
     )
     none_positioned = F.size("_positioned") == 0
     forms = forms.withColumn(
@@ -83,9 +86,15 @@ def diagnostics_a(logs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(F.array("_log"))
     )
     found = forms.select(*kept, form.alias("_form"), F.posexplode(pieces).alias("seq", "_piece"))
+    # All groups of a finding in one pass, set apart by a character no log holds.
+    groups = F.regexp_replace(
+        "_piece", rf"\A{POSITIONED}\z", GROUP_BREAK.join(f"${n}" for n in range(1, 8))
+    )
+    fields = F.when(F.col("_form") == POSITIONED_FORM, F.split(groups, GROUP_BREAK))
+    found = found.withColumn("_fields", fields)
 
     def part(group: int) -> Column:
-        return F.regexp_extract("_piece", POSITIONED, group)
+        return F.get("_fields", group - 1)
 
     def of_form(n: int) -> Column:
         return F.col("_form") == n
@@ -179,7 +188,7 @@ def gated_diagnostics(
     """Findings of the first stage; those of the second only for inputs that had none
     and that can be instantiated."""
     blocked = first.select(key).union(not_instantiable.select(key)).distinct()
-    passed = salted_join(second, blocked, [key], "left_anti")
+    passed = lookup_join(second, blocked, [key], "left_anti")
     return first.withColumn("stage", F.lit(1)).unionByName(
         passed.select(*second.columns).withColumn("stage", F.lit(2))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
 from loomlight.operators.corpus import first_declaration
-from loomlight.operators.ordering import salted_join
+from loomlight.operators.ordering import lookup_join, salted_join
 
 LIBRARY = "Modelica"  # fixed value: names that start so have no source in the corpus
 
@@ -33,11 +33,10 @@ def type_lookup(requests: DataFrame, variables: DataFrame) -> DataFrame:
     The topmost declaration counts, not the nearest one. So it is enough to know
     one row per name and file: if that one is below the line, all others are.
     """
-    named = requests.withColumn("name", T.matched(F.col("word"), T.IDENTIFIER, 1)).dropna(
-        subset=["name"]
-    )
+    identifiers = F.regexp_extract_all("word", F.lit(T.IDENTIFIER), F.lit(1))
+    named = requests.select("*", F.explode(F.slice(identifiers, 1, 1)).alias("name"))
     found = asked_declarations(named, variables)
-    typed = salted_join(named, found, ["file", "name"])
+    typed = lookup_join(named, found, ["file", "name"])
     return typed.filter(F.col("line").isNull() | (F.col("line_no") <= F.col("line"))).select(
         *requests.columns, "name", "type", "comment"
     )
@@ -57,7 +56,7 @@ def class_source_lookup(
         ~F.startswith("class_name", F.lit(LIBRARY))
     )
     keyed = requests.withColumn("class_name", F.col(class_name))
-    return salted_join(keyed, known, ["class_name"], "left").select(
+    return lookup_join(keyed, known, ["class_name"], "left").select(
         *requests.columns, "source_file"
     )
 
@@ -79,11 +78,11 @@ def declaration_lookup(
     lines = openings.join(wanted, ["file", "class_name"], "left_semi").select(
         F.col("file").alias("source_file"), F.col("class_name").alias("simple"), "class_line"
     )
-    with_class = salted_join(located, lines, ["source_file", "simple"], "left")
+    with_class = lookup_join(located, lines, ["source_file", "simple"], "left")
 
     named = with_class.withColumn("name", F.col("word"))
     found = asked_declarations(named, variables).select("file", "name", "line_no")
-    both = salted_join(named, found, ["file", "name"], "left")
+    both = lookup_join(named, found, ["file", "name"], "left")
     as_class = F.col("class_line").isNotNull()
     return both.select(
         *requests.columns,

@@ -20,7 +20,8 @@ SUGGESTION = ["kind", "name", "parameters", "comment", "type"]
 def vocabulary_array() -> Column:
     """The fixed words as one literal array of (kind, name)."""
     words = [("Keyword", w) for w in T.KEYWORDS] + [("Type", w) for w in T.PRIMITIVE_TYPES]
-    return F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(w).alias("name")) for k, w in words])
+    pairs = ", ".join(f"named_struct('kind', '{k}', 'name', '{w}')" for k, w in words)
+    return F.expr(f"array({pairs})")
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
@@ -91,16 +92,23 @@ def edit_distance() -> Column:
     )
 
 
+def near_enough(candidates: DataFrame) -> DataFrame:
+    """Add ``distance``, 0 for prefix hits; drop other names that are not nearer than they are long.
+
+    The distance is a generator of no or one row, so that it is worked out once and
+    not a second time in a pushed-down filter.
+    """
+    distance = F.when(is_prefix(), 0).otherwise(edit_distance())
+    near = lambda d: is_prefix() | (d < F.length("name"))
+    return candidates.select("*", F.explode(F.filter(F.array(distance), near)).alias("distance"))
+
+
 def fuzzy_rank(scoped: DataFrame, best: int | None = None) -> DataFrame:
     """Candidates without the prefix, nearest first, if nearer than their own length.
 
     The order is distance, then name, then kind. ``best`` keeps that many per request.
     """
-    ranked = (
-        prefix_nonmatch(scoped)
-        .withColumn("distance", edit_distance())
-        .filter(F.col("distance") < F.length("name"))
-    )
+    ranked = near_enough(prefix_nonmatch(scoped))
     order = ["distance", "name", "kind"]
     if best is not None:
         ranked = best_per_request(ranked, order, best)
@@ -127,7 +135,9 @@ def completion_union(
 
     Candidates are the fixed words, the members of the word's name space, the
     variables of the file up to the cursor line, and the members of the object
-    before the last dot. Prefix hits are tier 0, the others tier 1 by distance.
+    before the last dot. Prefix hits are tier 0, the others tier 1 by distance;
+    :func:`in_order` sorts by these. ``variables`` is read more than once, so it should
+    be a stored table.
     A word that ends in a dot lists the name space as it is; an empty word gives nothing.
     Duplicates between the sources stay.
     """
@@ -159,17 +169,13 @@ def completion_union(
         .unionByName(members, allowMissingColumns=True)
     )
     tier = F.when(is_prefix(), 0).otherwise(1)
-    distance = F.when(F.col("tier") == 0, 0).otherwise(edit_distance())
-    judged = (
-        candidates.withColumn("tier", tier)
-        .withColumn("distance", distance)
-        .filter((F.col("tier") == 0) | (F.col("distance") < F.length("name")))
-    )
-    return (
-        judged.unionByName(listed)
-        .select("req_id", "word", "tier", "distance", *SUGGESTION)
-        .orderBy("req_id", "tier", "distance", "name", "kind")
-    )
+    judged = near_enough(candidates.withColumn("tier", tier))
+    return judged.unionByName(listed).select("req_id", "word", "tier", "distance", *SUGGESTION)
+
+
+def in_order(suggestions: DataFrame) -> DataFrame:
+    """Suggestions as they are shown: by request, prefix hits first, then by distance and name."""
+    return suggestions.orderBy("req_id", "tier", "distance", "name", "kind")
 
 
 def completion_counts(suggestions: DataFrame) -> DataFrame:

@@ -106,6 +106,35 @@ def blocks_by_index(
     )
 
 
+def lookup_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """Join ``rows`` with a ``table`` that has at most one row per key.
+
+    A key with more than ``hot_rows`` rows is hot: its rows are spread by a hash over
+    as many parts as it has ``hot_rows`` in it, and its one table row is repeated as
+    often. There are at most ``len(rows) / hot_rows`` such keys, so they are broadcast.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(counts.select(*on, F.ceil(F.col("_n") / hot_rows).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = (
+        rows.join(hot, [*on], "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), parts))
+        .drop("_parts")
+    )
+    repeated = (
+        table.join(hot, [*on], "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        .drop("_parts")
+    )
+    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def salted_join(
     rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 8
 ) -> DataFrame:

@@ -19,8 +19,8 @@ from loomlight.operators.ordering import (
     RANGE,
     before,
     group_positions,
+    lookup_join,
     range_split,
-    salted_join,
     with_carry,
     within,
 )
@@ -186,8 +186,8 @@ def validate_projects(projects: DataFrame, inventory: DataFrame) -> DataFrame:
     )
     by_path = known.join(wanted.select("path").distinct(), "path", "left_semi")
     by_script = scripts.join(wanted.select("_script").distinct(), "_script", "left_semi")
-    joined = salted_join(
-        salted_join(wanted, by_path, ["path"], "left"), by_script, ["_script"], "left"
+    joined = lookup_join(
+        lookup_join(wanted, by_path, ["path"], "left"), by_script, ["_script"], "left"
     )
     quoted = F.concat(F.lit("`"), "path", F.lit("`"))
     place = F.when(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
-from loomlight.operators.ordering import salted_join
+from loomlight.operators.ordering import lookup_join
 
 MARKER = "package.mo"
 
@@ -148,7 +148,7 @@ def files_outside_packages(
         .select("_dir")
         .distinct()
     )
-    return salted_join(located, inside, ["_dir"], "left_anti").select(*files.columns)
+    return lookup_join(located, inside, ["_dir"], "left_anti").select(*files.columns)
 
 
 def load_order(files: DataFrame, libraries: DataFrame, path: str = "path") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomlight.functions import paths as P
 from loomlight.operators import corpus, diagnostics, docs, lookup, names, records, registry, runs, trees
 from loomlight.plans import inputs
-from loomlight.session import cut, scratch_path
+from loomlight.session import cut, scratch_path, stored
 from loomlight.sources import files
 from loomlight.streaming import changelog, live
 
@@ -85,7 +85,12 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_and_part_variables(spark, sf_dir)
     )
     sources = lookup.source_table(part_classes(spark, sf_dir))
-    return names.completion_union(requests, full_classes(spark, sf_dir), variables, sources)
+    return names.completion_union(
+        stored(requests, "requests"),
+        full_classes(spark, sf_dir),
+        stored(variables, "variables"),
+        sources,
+    )
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +262,7 @@ def namespace_children(spark, sf_dir):
 def member_access(spark, sf_dir):
     return lookup.member_access(
         inputs.order_requests(spark, sf_dir),
-        order_and_part_variables(spark, sf_dir),
+        stored(order_and_part_variables(spark, sf_dir), "variables"),
         lookup.source_table(part_classes(spark, sf_dir)),
     )
 

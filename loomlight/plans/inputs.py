@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,7 +103,7 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.concat(F.lit("doc"), "doc_id").alias("file"), "text"
     )
 
@@ -122,7 +124,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a file and each of its line items a line that declares item<n>."""
-    item = table(spark, sf_dir, "lineitem")
+    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     kind = F.when(F.col("l_returnflag") == "A", "Real").otherwise(
         F.concat(F.lit("P"), "l_partkey")
     )
@@ -267,7 +269,7 @@ def log_key() -> Column:
 
 def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One compiler log per line item; its flags choose the form of the log."""
-    item = table(spark, sf_dir, "lineitem")
+    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     values = _numbers(item)
     positioned = _written(
         "Error processing file: o{order}.mo\n"
@@ -302,7 +304,7 @@ def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log of the second dialect per line item, with a warning before an error."""
-    item = table(spark, sf_dir, "lineitem")
+    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     values = _numbers(item)
     warning = _written(
         "Warning: in file '/work/o{order}.mo':\nAt line {qty}, column {line}:\n  Odd S{supp}\n\n", values

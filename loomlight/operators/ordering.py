@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomlight.session import cut
 
 RANGE = "_range"
+KEY = "_key"
 
 
 def range_split(
@@ -26,34 +27,28 @@ def range_split(
 
     The result is cut, as range bounds are sampled and must not be drawn twice.
     ``order`` should end in a unique column so that ties cannot pile up in one range.
+    ``_key`` holds the keys as one struct: it is never null itself, so windows and
+    joins on it see null keys as equal and share one shuffle.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = df.repartitionByRange(ranges, *[F.col(c) for c in [*keys, *order]])
-    return cut(split.withColumn(RANGE, F.spark_partition_id()))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return cut(split.withColumn(KEY, key).withColumn(RANGE, F.spark_partition_id()))
 
 
-def within(keys: Sequence[str], order: Sequence[str]):
+def within(order: Sequence[str], last: int = W.currentRow):
     """Window inside one range of one key, from its start to the current row."""
-    return (
-        W.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    return W.partitionBy(KEY, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, last)
 
 
-def before(keys: Sequence[str]):
-    """Window over the ranges before this one; at most one row per range."""
-    return W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+def before():
+    """Window over the ranges of a key before this one; at most one row per range."""
+    return W.partitionBy(KEY).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
 
 
-def with_carry(split: DataFrame, keys: Sequence[str], carried: DataFrame) -> DataFrame:
+def with_carry(split: DataFrame, carried: DataFrame) -> DataFrame:
     """Attach the one-row-per-(key, range) values to the rows of that range."""
-    renamed = carried.select(
-        *[F.col(c).alias(f"_key_{c}") for c in [*keys, RANGE]],
-        *[c for c in carried.columns if c not in {*keys, RANGE}],
-    )
-    same = F.lit(True)
-    for c in [*keys, RANGE]:
-        same = same & split[c].eqNullSafe(renamed[f"_key_{c}"])
-    return split.join(renamed, same, "left").drop(*[f"_key_{c}" for c in [*keys, RANGE]])
+    return split.join(carried, [KEY, RANGE], "left")
 
 
 def group_positions(
@@ -65,15 +60,11 @@ def group_positions(
 ) -> DataFrame:
     """Number the rows of each group from 0 in ``order``; no keys means one global numbering."""
     split = range_split(df, keys, order, ranges)
-    counts = split.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("_n"))
-    bases = counts.select(
-        *keys, RANGE, F.coalesce(F.sum("_n").over(before(keys)), F.lit(0)).alias("_base")
-    )
-    local = F.row_number().over(W.partitionBy(*keys, RANGE).orderBy(*order))
-    numbered = with_carry(split.withColumn("_local", local), keys, bases)
-    return numbered.withColumn(name, F.col("_base") + F.col("_local") - 1).drop(
-        "_base", "_local", RANGE
-    )
+    counts = split.groupBy(KEY, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    base = F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_base")
+    local = F.row_number().over(W.partitionBy(KEY, RANGE).orderBy(*order))
+    numbered = with_carry(split.withColumn("_local", local), counts.select(KEY, RANGE, base))
+    return numbered.withColumn(name, F.col("_base") + F.col("_local") - 1).select(*df.columns, name)
 
 
 def ordered_blocks(

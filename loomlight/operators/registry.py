@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
 from loomlight.operators.ordering import (
+    KEY,
     RANGE,
     before,
     group_positions,
@@ -44,37 +44,38 @@ def count_scan(
     ``initial`` (key, clients) is what was counted before these calls.
     """
     split = range_split(calls.withColumn("_step", step(F.col("op"))), [key], order, ranges)
-    local = split.withColumn("_sum", F.sum("_step").over(within([key], order))).withColumn(
-        "_low", F.min("_sum").over(within([key], order))
+    local = split.withColumn("_sum", F.sum("_step").over(within(order)))
+    # The lowest running sum so far, with and without the current call.
+    local = local.withColumn("_low", F.min("_sum").over(within(order))).withColumn(
+        "_low_before", F.min("_sum").over(within(order, -1))
     )
-    ends = local.groupBy(key, RANGE).agg(
+    ends = local.groupBy(KEY, RANGE).agg(
         F.sum("_step").alias("_total"), F.min("_sum").alias("_lowest")
     )
     start = F.lit(0).cast("bigint")
     if initial is not None:
-        ends = ends.join(initial.select(key, F.col("clients").alias("_start")), key, "left")
+        known = initial.select(F.struct(key).alias(KEY), F.col("clients").alias("_start"))
+        ends = ends.join(known, KEY, "left")
         start = F.coalesce(F.col("_start"), start)
     based = ends.withColumn(
-        "_base", start + F.coalesce(F.sum("_total").over(before([key])), F.lit(0))
+        "_base", start + F.coalesce(F.sum("_total").over(before()), F.lit(0))
     )
-    carried = based.withColumn(
-        "_floor", F.least(F.lit(0), F.min(F.col("_base") + F.col("_lowest")).over(before([key])))
-    ).select(key, RANGE, "_base", "_floor")
-    joined = with_carry(local, [key], carried)
-    total = F.col("_base") + F.col("_sum")
-    floor = F.least(F.col("_floor"), F.col("_base") + F.col("_low"))
-    after = total - F.least(F.lit(0), floor)
-    # The count before a call follows from the one after it, but at zero: there a
-    # disconnect either took the last client or found none, which the floor tells.
-    low_before = F.min("_sum").over(
-        W.partitionBy(key, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    carried = based.select(
+        KEY,
+        RANGE,
+        "_base",
+        F.least(F.lit(0), F.min(F.col("_base") + F.col("_lowest")).over(before())).alias("_floor"),
     )
-    total_before = total - F.col("_step")
-    floor_before = F.least(F.lit(0), F.col("_floor"), F.col("_base") + low_before)
+    joined = with_carry(local, carried)
+
+    def count(total: Column, low: Column) -> Column:
+        return total - F.least(F.lit(0), F.col("_floor"), F.col("_base") + low)
+
+    total = F.col("_base") + F.col("_sum")
     return joined.select(
         *calls.columns,
-        (total_before - floor_before).alias("clients_before"),
-        after.alias("clients"),
+        count(total - F.col("_step"), F.col("_low_before")).alias("clients_before"),
+        count(total, F.col("_low")).alias("clients"),
     )
 
 
@@ -97,15 +98,12 @@ def with_total(
     """Add ``total_clients``, the running number of clients over all keys."""
     change = counted.withColumn("_change", F.col("clients") - F.col("clients_before"))
     split = range_split(change, [], order, ranges)
-    local = split.withColumn("_sum", F.sum("_change").over(within([], order)))
-    ends = split.groupBy(RANGE).agg(F.sum("_change").alias("_total"))
-    carried = ends.select(
-        RANGE, F.coalesce(F.sum("_total").over(before([])), F.lit(0)).alias("_base")
-    )
-    return (
-        with_carry(local, [], carried)
-        .withColumn("total_clients", F.lit(clients_before) + F.col("_base") + F.col("_sum"))
-        .drop("_change", "_sum", "_base", RANGE)
+    local = split.withColumn("_sum", F.sum("_change").over(within(order)))
+    ends = split.groupBy(KEY, RANGE).agg(F.sum("_change").alias("_total"))
+    base = F.coalesce(F.sum("_total").over(before()), F.lit(0)).alias("_base")
+    total = F.lit(clients_before) + F.col("_base") + F.col("_sum")
+    return with_carry(local, ends.select(KEY, RANGE, base)).select(
+        *counted.columns, total.alias("total_clients")
     )
 
 
@@ -135,16 +133,14 @@ def final_counts(
 ) -> DataFrame:
     """Clients per key after the last call."""
     split = range_split(calls.withColumn("_step", step(F.col("op"))), [key], order, ranges)
-    local = split.withColumn("_sum", F.sum("_step").over(within([key], order)))
-    ends = local.groupBy(key, RANGE).agg(
+    local = split.withColumn("_sum", F.sum("_step").over(within(order)))
+    ends = local.groupBy(KEY, RANGE).agg(
         F.sum("_step").alias("_total"), F.min("_sum").alias("_lowest")
     )
-    based = ends.withColumn("_base", F.coalesce(F.sum("_total").over(before([key])), F.lit(0)))
-    return based.groupBy(key).agg(
-        (
-            F.sum("_total") - F.least(F.lit(0), F.min(F.col("_base") + F.col("_lowest")))
-        ).alias("clients")
-    )
+    based = ends.withColumn("_base", F.coalesce(F.sum("_total").over(before()), F.lit(0)))
+    floor = F.least(F.lit(0), F.min(F.col("_base") + F.col("_lowest")))
+    finals = based.groupBy(KEY).agg((F.sum("_total") - floor).alias("clients"))
+    return finals.select(f"{KEY}.{key}", "clients")
 
 
 def registry_counts(finals: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
 from loomlight.operators.ordering import (
+    KEY,
     RANGE,
     before,
     blocks_by_index,
@@ -83,8 +84,8 @@ def variables_map(series: DataFrame, run: str = "run_id") -> DataFrame:
 def request_options(requests: DataFrame, options: str = "options") -> DataFrame:
     """JSON options to sorted ``key=value`` arguments.
 
-    Numbers stay as written and strings are quoted; any other value, or text that
-    is no object, rejects the request. The output format is always csv.
+    Numbers keep their value (1.50 is shown as 1.5) and strings are quoted; any other
+    value, or text that is no object, rejects the request. The output format is always csv.
     """
     raw = F.from_json(F.col(options), "map<string,string>")
     typed = F.from_json(F.col(options), "map<string,variant>")
@@ -146,27 +147,24 @@ def status_scan(
 
 def last_status(scan: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Latest status set per key; combines on the map side."""
-    return (
-        scan.filter(F.col("_status").isNotNull())
-        .groupBy(*keys)
-        .agg(F.max(F.struct(*order, "_status")).alias("_last"))
-        .select(*keys, F.col("_last._status").alias("_status"))
+    last = F.max(F.when(F.col("_status").isNotNull(), F.struct(*order, "_status")))
+    return scan.groupBy(*keys).agg(last.alias("_last")).select(
+        *keys, F.col("_last._status").alias("_status")
     )
 
 
 def polls_with_status(
     scan: DataFrame, run: str, order: Sequence[str], initial: DataFrame | None = None
 ) -> DataFrame:
-    local = F.last("_status", ignorenulls=True).over(within([run], order))
-    ends = scan.select(run, RANGE).distinct().join(last_status(scan, [run, RANGE], order), [run, RANGE], "left")
-    carried = ends.select(
-        run, RANGE, F.last("_status", ignorenulls=True).over(before([run])).alias("_carried")
+    local = F.last("_status", ignorenulls=True).over(within(order))
+    carried = last_status(scan, [KEY, RANGE], order).select(
+        KEY, RANGE, F.last("_status", ignorenulls=True).over(before()).alias("_carried")
     )
-    seen = with_carry(scan.withColumn("_local", local), [run], carried).filter(F.col("op") == "poll")
+    seen = with_carry(scan.withColumn("_local", local), carried).filter(F.col("op") == "poll")
     known = [F.col("_local"), F.col("_carried")]
     if initial is not None:
         seen = seen.join(initial.select(run, F.col("status").alias("_initial")), run, "left")
         known.append(F.col("_initial"))
     return seen.withColumn("status", F.coalesce(*known, F.lit("unknown"))).drop(
-        "_status", "_local", "_carried", "_initial", RANGE
+        KEY, RANGE, "_status", "_local", "_carried", "_initial"
     )

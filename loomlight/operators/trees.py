@@ -30,9 +30,9 @@ def path_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     """Flat file paths to nodes, all directories on the way included.
 
     Directories are made distinct before their own ancestors are exploded, so
-    a directory with very many files is expanded once per task, not per file.
+    a directory with very many files is expanded once, not per file.
     """
-    leaves = paths.select(F.col(path).alias("path")).distinct()
+    leaves = paths.select(F.col(path).alias("path"))
     directories = leaves.select(P.parent(F.col("path")).alias("directory")).dropna().distinct()
     inner = directories.select(F.explode(P.ancestors_and_self(F.col("directory"))).alias("path"))
     every = leaves.withColumn("is_leaf", F.lit(True)).unionByName(
@@ -75,9 +75,14 @@ def tree_preorder(nodes: DataFrame, indicator: str = "-") -> DataFrame:
 
 
 def subtree_size(nodes: DataFrame) -> DataFrame:
-    """Number of nodes at and below each node."""
-    above = nodes.select(F.explode(P.ancestors_and_self(F.col("path"))).alias("path"))
-    return above.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    """Number of nodes at and below each node.
+
+    The nodes of one directory are counted before its way up is exploded.
+    """
+    inside = nodes.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).dropna()
+    up = inside.select(F.explode(P.ancestors_and_self(F.col("parent"))).alias("path"), "n")
+    both = up.unionByName(nodes.select("path", F.lit(1).cast("bigint").alias("n")))
+    return both.groupBy("path").agg(F.sum("n").alias("size"))
 
 
 def tree_fold(leaves: DataFrame, measure: str, path: str = "path") -> DataFrame:
@@ -86,21 +91,23 @@ def tree_fold(leaves: DataFrame, measure: str, path: str = "path") -> DataFrame:
     Leaves of one directory are combined before the way up is exploded.
     """
     value = F.col(measure)
-    per_leaf = leaves.groupBy(F.col(path).alias("leaf")).agg(
-        F.sum(value).alias("total"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.count(value).alias("n"),
-    )
-    up = per_leaf.select(
-        F.explode(P.ancestors_and_self(F.col("leaf"))).alias("path"), "total", "low", "high", "n"
-    )
-    return up.groupBy("path").agg(
-        F.sum("total").alias("total"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.sum("n").alias("n"),
-    )
+    first = leaves.select(
+        F.col(path).alias("path"), *[value.alias(c) for c in ("total", "low", "high")],
+        F.when(value.isNotNull(), 1).otherwise(0).cast("bigint").alias("n"),
+    )
+
+    def combined(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.groupBy(key.alias("path")).agg(
+            F.sum("total").alias("total"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.sum("n").alias("n"),
+        )
+
+    inside = combined(first, P.parent(F.col("path"))).filter("path is not null")
+    way_up = F.explode(P.ancestors_and_self(F.col("path"))).alias("path")
+    up = inside.select(way_up, "total", "low", "high", "n")
+    return combined(up.unionByName(first), F.col("path"))
 
 
 def subtree_prune(nodes: DataFrame, output_dir: str | None = None) -> DataFrame:

@@ -22,10 +22,10 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions hold nations, nations hold customers: dotted class names with all attributes."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     customer = table(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     none = F.array().cast("array<string>")
     top = region.select(
@@ -72,7 +72,7 @@ def name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unfinished word per nation (a member of it) and per region (a nation of it, a region)."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     start = F.concat(F.lit("Customer#00000"), (F.col("n_nationkey") % 3).cast("string"))
     members = nation.select(
@@ -188,10 +188,10 @@ def customer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in region and nation directories; some directories hold a package file."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     customer = table(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     leaf = F.when(F.col("c_custkey") % 50 == 0, "package.mo").otherwise(
         F.concat("c_name", F.lit(".mo"))
@@ -208,7 +208,7 @@ def script_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A build script in every second nation's directory."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     script = F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name", F.lit("build.mos")))
     place = F.when(F.col("n_nationkey") % 2 == 0, script).otherwise(F.lit("/shared/build.mos"))
@@ -219,10 +219,10 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project description per customer: a directory, a file or nothing that exists."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
+        region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     customer = table(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     directory = F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name"))
     third = F.col("c_custkey") % 3

@@ -27,6 +27,11 @@ def keep_changes(
     return writer.foreachBatch(save).start()
 
 
+def compact(spark: SparkSession, table: str, keys: Sequence[str], target: str) -> None:
+    """Write the newest rows into a new table, as its first batch."""
+    newest(spark, table, keys).write.mode("errorifexists").parquet(f"{target}/batch=-1")
+
+
 def newest(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
     """The last written row of each key."""
     changes = spark.read.parquet(table)

@@ -90,7 +90,7 @@ def run_status_stream(
         scan = runs.status_scan(batch, "run_id", order)
         polls = runs.polls_with_status(scan, "run_id", order, known)
         polls.write.mode("overwrite").parquet(f"{table}/polls/batch={batch_id}")
-        after = runs.last_status(scan, ["run_id"], order).withColumnRenamed("_status", "status")
+        after = runs.last_status(scan, ["run_id"], order).dropna().withColumnRenamed("_status", "status")
         if known is not None:
             after = after.unionByName(known.join(after, "run_id", "left_anti"))
         after.write.mode("overwrite").parquet(f"{table}/state/batch={batch_id}")

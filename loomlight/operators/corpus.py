@@ -34,8 +34,12 @@ def strip_comments(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _type_and_name(declared: Column) -> Column:
-    words = F.split(declared, r"\s+", 2)
-    return F.struct(F.get(words, 0).alias("type"), F.get(words, 1).alias("name"))
+    """The two words of a declaration; cut by plain blanks, as a pattern is compiled per row."""
+    words = F.translate(declared, "\t\n\x0b\f\r", "     ")
+    return F.struct(
+        F.substring_index(words, " ", 1).alias("type"),
+        F.substring_index(words, " ", -1).alias("name"),
+    )
 
 
 def extract_variables(lines: DataFrame, strict: bool = False) -> DataFrame:

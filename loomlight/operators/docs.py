@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.operators.ordering import lookup_join, ordered_blocks
+from loomlight.operators.ordering import ordered_blocks
 
 STYLES = "body { font-family: sans-serif } .part { margin: 1em }"
 PAGE = """<!DOCTYPE html>
@@ -43,8 +43,7 @@ def class_docs(docs: DataFrame, members: DataFrame, size: int = 512) -> DataFram
     block with an empty list.
     """
     present = docs.filter("info <> ''")
-    wanted = present.select("class_name").distinct()
-    known = lookup_join(members, wanted, ["class_name"], "left_semi").select(*members.columns)
+    known = members.join(present.select("class_name"), "class_name", "left_semi")
     once = known.groupBy("class_name", "member").agg(F.max("comment").alias("comment"))
     member = F.struct(F.col("member").alias("class_name"), F.col("comment").alias("comment"))
     blocks = ordered_blocks(once, ["class_name"], ["member"], member, "members", size)

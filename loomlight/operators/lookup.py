@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
 from loomlight.operators.corpus import first_declaration
-from loomlight.operators.ordering import lookup_join, salted_join
+from loomlight.operators.ordering import asked_keys, lookup_join, salted_join
 
 LIBRARY = "Modelica"  # fixed value: names that start so have no source in the corpus
 
@@ -23,7 +23,7 @@ def asked_declarations(keys: DataFrame, variables: DataFrame) -> DataFrame:
 
     The pairs are made distinct and thin the variables out before these are grouped.
     """
-    wanted = keys.select("file", "name").distinct()
+    wanted = asked_keys(keys, ["file", "name"])
     return first_declaration(variables.join(wanted, ["file", "name"], "left_semi"))
 
 
@@ -47,42 +47,49 @@ def source_table(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class_name").agg(F.min("file").alias("source_file"))
 
 
+def project_sources(sources: DataFrame) -> DataFrame:
+    """Sources that may be asked for; library classes have none."""
+    return sources.filter(~F.startswith("class_name", F.lit(LIBRARY)))
+
+
 def class_source_lookup(
     requests: DataFrame, sources: DataFrame, class_name: str = "word"
 ) -> DataFrame:
     """Add the file that declares the class; null if there is none or it is a library class."""
-    wanted = requests.select(F.col(class_name).alias("class_name")).distinct()
-    known = sources.join(wanted, "class_name", "left_semi").filter(
-        ~F.startswith("class_name", F.lit(LIBRARY))
-    )
     keyed = requests.withColumn("class_name", F.col(class_name))
-    return lookup_join(keyed, known, ["class_name"], "left").select(
+    return lookup_join(keyed, project_sources(sources), ["class_name"], "left").select(
         *requests.columns, "source_file"
     )
 
 
+def declared_classes(classes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Full class name to the file and line that declare it.
+
+    The line is the first one in the class's file that opens a class of the last part
+    of the name. A class whose file has no such line is left out.
+    """
+    openings = classes.groupBy(F.col("file").alias("source_file"), "class_name").agg(
+        F.min("line_no").alias("class_line")
+    )
+    named = project_sources(sources).withColumn("simple", F.substring_index("class_name", ".", -1))
+    lines = openings.withColumnRenamed("class_name", "simple")
+    return named.join(lines, ["source_file", "simple"]).drop("simple")
+
+
 def declaration_lookup(
     requests: DataFrame, classes: DataFrame, variables: DataFrame, sources: DataFrame
 ) -> DataFrame:
     """Where a word is declared: as a class, else as a variable of the request's own file.
 
-    ``sources`` maps full class names to files. The declaring line in that file is
-    found by the last part of the word; if the file has no such line, the variable counts.
+    ``sources`` maps full class names to files. Variables are looked up first, as the
+    requests are then still a plain table; the classes follow by a left join, whose
+    hot words adaptive execution splits.
     """
-    simple = F.substring_index("word", ".", -1)
-    openings = classes.groupBy("file", "class_name").agg(F.min("line_no").alias("class_line"))
-    located = class_source_lookup(requests, sources).withColumn("simple", simple)
-    wanted = located.select(
-        F.col("source_file").alias("file"), F.col("simple").alias("class_name")
-    ).distinct()
-    lines = openings.join(wanted, ["file", "class_name"], "left_semi").select(
-        F.col("file").alias("source_file"), F.col("class_name").alias("simple"), "class_line"
-    )
-    with_class = lookup_join(located, lines, ["source_file", "simple"], "left")
-
-    named = with_class.withColumn("name", F.col("word"))
+    named = requests.withColumn("name", F.col("word"))
     found = asked_declarations(named, variables).select("file", "name", "line_no")
-    both = lookup_join(named, found, ["file", "name"], "left")
+    local = lookup_join(named, found, ["file", "name"], "left")
+    declared = declared_classes(classes, sources).withColumnRenamed("class_name", "name")
+    both = local.join(declared, "name", "left")
     as_class = F.col("class_line").isNotNull()
     return both.select(
         *requests.columns,
@@ -105,8 +112,10 @@ def member_access(requests: DataFrame, variables: DataFrame, sources: DataFrame)
     )
     typed = type_lookup(objects, variables).filter(~F.col("type").isin(T.PRIMITIVE_TYPES))
     owners = typed.select("req_id", "asked", F.col("word").alias("object"), F.col("type").alias("of"))
-    located = class_source_lookup(owners, sources, "of").dropna(subset=["source_file"])
-    wanted = located.select("req_id", "asked", "object", F.col("source_file").alias("file"))
+    known = project_sources(sources).withColumnRenamed("class_name", "of")
+    wanted = owners.join(known, "of").select(
+        "req_id", "asked", "object", F.col("source_file").alias("file")
+    )
     return salted_join(variables, wanted, ["file"]).select(
         "req_id",
         F.col("asked").alias("word"),

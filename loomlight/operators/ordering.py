@@ -97,6 +97,19 @@ def blocks_by_index(
     )
 
 
+def key_counts(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def asked_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The distinct keys of ``rows``.
+
+    Written as the counts that :func:`lookup_join` takes of the same rows, so that
+    Spark works both out in one shuffle.
+    """
+    return key_counts(rows, on).filter(F.col("_n") > 0).select(*on)
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -110,7 +123,7 @@ def lookup_join(
     as many parts as it has ``hot_rows`` in it, and its one table row is repeated as
     often. There are at most ``len(rows) / hot_rows`` such keys, so they are broadcast.
     """
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    counts = key_counts(rows, on).filter(F.col("_n") > hot_rows)
     hot = F.broadcast(counts.select(*on, F.ceil(F.col("_n") / hot_rows).alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     spread = (

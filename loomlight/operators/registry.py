@@ -180,11 +180,8 @@ def validate_projects(projects: DataFrame, inventory: DataFrame) -> DataFrame:
             F.concat_ws("/", "path", "build_script")
         ),
     )
-    by_path = known.join(wanted.select("path").distinct(), "path", "left_semi")
-    by_script = scripts.join(wanted.select("_script").distinct(), "_script", "left_semi")
-    joined = lookup_join(
-        lookup_join(wanted, by_path, ["path"], "left"), by_script, ["_script"], "left"
-    )
+    placed = lookup_join(wanted, known, ["path"], "left")
+    joined = placed.join(scripts, "_script", "left")
     quoted = F.concat(F.lit("`"), "path", F.lit("`"))
     place = F.when(
         F.col("_is_file").isNull(), F.concat(quoted, F.lit(" doesn't exist"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
-from loomlight.operators.ordering import lookup_join
+from loomlight.operators.ordering import asked_keys, lookup_join
 
 MARKER = "package.mo"
 
@@ -148,7 +148,7 @@ def files_outside_packages(
     """
     roots = package_roots(files, path) if roots is None else roots
     located = files.withColumn("_dir", F.coalesce(P.parent(F.col(path)), F.lit("")))
-    directories = located.select("_dir").distinct()
+    directories = asked_keys(located, ["_dir"])
     inside = (
         directories.select("_dir", F.explode(P.ancestors_and_self(F.col("_dir"))).alias("root"))
         .join(roots.select("root"), "root", "left_semi")

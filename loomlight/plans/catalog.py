@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomlight.functions import paths as P
 from loomlight.operators import corpus, diagnostics, docs, lookup, names, records, registry, runs, trees
 from loomlight.plans import inputs
-from loomlight.session import cut, scratch_path, stored
+from loomlight.session import cut, scratch_path, spread, stored
 from loomlight.sources import files
 from loomlight.streaming import changelog, live
 
@@ -239,7 +239,8 @@ def declaration_lookup(spark, sf_dir):
         .when(status == "O", F.concat(F.lit("item"), F.col("o_custkey") % 7 + 1))
         .otherwise(F.concat(F.lit("lib.P"), "o_orderkey"))
     )
-    requests = inputs.table(spark, sf_dir, "orders").select(
+    orders = spread(inputs.table(spark, sf_dir, "orders"), "o_orderkey")
+    requests = orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("req_id"),
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".mo")).alias("file"),
         word.alias("word"),

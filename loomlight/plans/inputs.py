@@ -140,7 +140,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order: a member of one of its items, or of none."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("req_id"),
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".mo")).alias("file"),
@@ -354,7 +354,7 @@ def check_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run report per order; the order status chooses how the run ended."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     error = F.when(status == "F", F.concat(F.lit("Error: run "), key, F.lit(" broke"))).when(
         status == "O", F.concat(F.lit("Warning: slow step in "), key)
@@ -442,7 +442,8 @@ def option_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "solver": "'), "event_type", F.lit('", "stopTime": '),
         F.col("user_id").cast("string"), F.lit(', "outputFormat": "mat"'), flag, F.lit("}"),
     )
-    return table(spark, sf_dir, "events").select("event_id", options.alias("options"))
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select("event_id", options.alias("options"))
 
 
 def suggestion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,7 +468,8 @@ def suggestion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("json"))
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select("event_id", text.alias("json"))
 
 
 # ---- documentation ---------------------------------------------------------

@@ -25,6 +25,18 @@ def test_query_equals_sql(spark, con, name):
     assert differences(df, con, driver.oracle_sql()[name]) is None
 
 
-def test_entry(spark):
-    first = driver.entry(spark).limit(5).collect()
-    assert len(first) == 5 and first[0].tier == 0
+def test_entry_is_in_order(spark):
+    found = driver.entry(spark).limit(200).collect()
+    order = [(r.req_id, r.tier, r.distance, r.name) for r in found]
+    assert len(order) == 200 and order == sorted(order)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", list(driver.queries()))
+def test_no_plan_compares_all_pairs_or_runs_python(spark, name):
+    text = plan(driver.queries()[name](spark, SF_DIR))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "InPandas"):
+        assert node not in text

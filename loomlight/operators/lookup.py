@@ -100,26 +100,27 @@ def declaration_lookup(
     )
 
 
-def member_access(requests: DataFrame, variables: DataFrame, sources: DataFrame) -> DataFrame:
-    """Variables of the type of the object before the last dot, as ``object.name``.
+def object_sources(requests: DataFrame, variables: DataFrame, sources: DataFrame) -> DataFrame:
+    """For words with a member: the object before the last dot and the file its type comes from.
 
     Nothing for a word without a member and for objects of a primitive type.
     """
     word = F.col("word")
-    dotted = requests.filter(T.tail_after(word, ".") != "")
-    objects = dotted.select(
+    objects = requests.filter(T.tail_after(word, ".") != "").select(
         "req_id", F.col("word").alias("asked"), "file", "line", T.head_before(word, ".").alias("word")
     )
     typed = type_lookup(objects, variables).filter(~F.col("type").isin(T.PRIMITIVE_TYPES))
-    owners = typed.select("req_id", "asked", F.col("word").alias("object"), F.col("type").alias("of"))
-    known = project_sources(sources).withColumnRenamed("class_name", "of")
-    wanted = owners.join(known, "of").select(
-        "req_id", "asked", "object", F.col("source_file").alias("file")
+    owners = typed.select(
+        "req_id", "asked", F.col("word").alias("object"), F.col("type").alias("class_name")
+    )
+    return owners.join(project_sources(sources), "class_name").select(
+        "req_id", F.col("asked").alias("word"), "object", F.col("source_file").alias("file")
     )
+
+
+def member_access(requests: DataFrame, variables: DataFrame, sources: DataFrame) -> DataFrame:
+    """Variables of the type of the object before the last dot, as ``object.name``."""
+    wanted = object_sources(requests, variables, sources)
     return salted_join(variables, wanted, ["file"]).select(
-        "req_id",
-        F.col("asked").alias("word"),
-        F.concat_ws(".", "object", "name").alias("name"),
-        "type",
-        "comment",
+        "req_id", "word", F.concat_ws(".", "object", "name").alias("name"), "type", "comment"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
 from loomlight.operators.corpus import display
-from loomlight.operators.lookup import member_access, position_filter
+from loomlight.operators.lookup import object_sources, position_filter
 from loomlight.operators.ordering import ordered_blocks, salted_join
 
 SUGGESTION = ["kind", "name", "parameters", "comment", "type"]
@@ -153,11 +153,17 @@ def completion_union(
         F.lit(0).alias("tier"),
         F.lit(0).alias("distance"),
     )
-    local = position_filter(typed, variables).select(
-        "req_id", "word", F.lit("Variable").alias("kind"), "name", "comment", "type"
-    )
-    members = member_access(typed, variables, sources).select(
-        "req_id", "word", F.lit("Property").alias("kind"), "name", "comment", "type"
+    # Both looks into files, the request's own and the object's, share one pass over the variables.
+    own = typed.select("req_id", "word", "file", "line", F.lit(None).cast("string").alias("object"))
+    others = object_sources(typed, variables, sources)
+    views = own.unionByName(others.withColumn("line", F.lit(None).cast("int")))
+    in_files = position_filter(views, variables).select(
+        "req_id",
+        "word",
+        F.when(F.col("object").isNull(), "Variable").otherwise("Property").alias("kind"),
+        F.concat_ws(".", "object", "name").alias("name"),
+        "comment",
+        "type",
     )
     candidates = (
         vocabulary_candidates(typed)
@@ -165,8 +171,7 @@ def completion_union(
             namespace_children(typed, classes).select("req_id", "word", *SUGGESTION[:4]),
             allowMissingColumns=True,
         )
-        .unionByName(local, allowMissingColumns=True)
-        .unionByName(members, allowMissingColumns=True)
+        .unionByName(in_files, allowMissingColumns=True)
     )
     tier = F.when(is_prefix(), 0).otherwise(1)
     judged = near_enough(candidates.withColumn("tier", tier))

@@ -117,7 +117,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("  parameter Integer "), F.substring_index("p_name", " ", -1),
         F.lit(";\n  /* "), "p_type", F.lit("\n  */ P"), key, F.lit(" next;\nend P"), key, F.lit(";\n"),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.concat(F.lit("part_"), key, F.lit(".mo")).alias("file"), text.alias("text")
     )
 

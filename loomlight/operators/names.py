@@ -7,6 +7,7 @@ candidates of its own scope, by equi-join on the scope.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
@@ -117,9 +118,7 @@ def fuzzy_rank(scoped: DataFrame, best: int | None = None) -> DataFrame:
 
 def best_per_request(rows: DataFrame, order: list[str], best: int) -> DataFrame:
     """The first ``best`` rows of each request; Spark limits each task before the shuffle."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("req_id").orderBy(*order))
+    place = F.row_number().over(W.partitionBy("req_id").orderBy(*order))
     return rows.withColumn("_place", place).filter(F.col("_place") <= best).drop("_place")
 
 

@@ -245,7 +245,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- logs and runs ---------------------------------------------------------
 
 
-def _numbers(item: DataFrame) -> dict:
+def _numbers() -> dict:
     text = lambda c: F.col(c).cast("string")
     quantity = F.col("l_quantity").cast("int")
     return {
@@ -270,7 +270,7 @@ def log_key() -> Column:
 def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One compiler log per line item; its flags choose the form of the log."""
     item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
-    values = _numbers(item)
+    values = _numbers()
     positioned = _written(
         "Error processing file: o{order}.mo\n"
         "[/work/o{order}.mo:{line}:{qty}-{next}:{far}:writable] Error: Class P{part} not found in scope S{supp}.\n"
@@ -305,7 +305,7 @@ def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log of the second dialect per line item, with a warning before an error."""
     item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
-    values = _numbers(item)
+    values = _numbers()
     warning = _written(
         "Warning: in file '/work/o{order}.mo':\nAt line {qty}, column {line}:\n  Odd S{supp}\n\n", values
     )

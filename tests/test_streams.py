@@ -3,9 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
-from pyspark.sql import functions as F
-
 from loomlight.operators import registry, runs
 from loomlight.streaming import changelog, live
 from tests.conftest import rows

@@ -7,12 +7,14 @@ shared candidates rare. Equal sets are one node. Nodes with the same prefix and
 are one group, and only groups meet in the join on prefix shingles.
 
 Pairs come in two rounds, so that a large class of near copies does not give all its
-pairs. First each group is compared with one group that shares a prefix shingle with it
-and is at most as large (neighbours in a sort by shingle and size, which sampled bounds
-split anywhere, so a shingle of very many groups is no single task). Links found make
-classes. Then all pairs of groups that share a prefix shingle, pass the length and
-positional bounds and are not of one class yet are compared. Each pair is verified on
-the full sets, made again from the texts.
+pairs. First each group is compared with the nearest of the groups that lead a block of
+one of its prefix shingles and are at most as large (blocks of a sort by shingle and size,
+which sampled bounds split anywhere, so a shingle of very many groups is no single task).
+Links found make classes. Then all pairs of groups that share a prefix shingle, pass the
+length and positional bounds and are not of one class yet are compared. A bitmap of each
+set, whose bits say whether the number of shingles with that hash is odd, bounds how many
+shingles two sets differ in and stops most pairs before they are made. Each pair that is
+left is verified on the full sets, made again from the texts.
 
 A shingle is told apart by 64 bits of hash.
 """
@@ -20,6 +22,7 @@ A shingle is told apart by 64 bits of hash.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +58,16 @@ def shingle_sets(texts, size: int) -> list[np.ndarray]:
     return out
 
 
+#: Longs of the bitmap of a set.
+PARITY = 8
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bitmap of the set: each bit says whether an odd number of its hashes fall there."""
+    bits = np.bincount((own & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -75,12 +88,13 @@ class _Sketch:
 
     def rest(self):
         if self.n.any():
-            cut = self.n.astype(np.uint32).reshape(-1, SLICE) if self.n.max() < 1 << 32 else self.n.reshape(-1, SLICE)
+            # planes of bytes, of which the high ones are mostly 0
+            cut = self.n.view(np.uint8).reshape(-1, SLICE, 8).transpose(0, 2, 1)
             for i in range(0, len(cut), 32):
                 part = cut[i : i + 32]
                 yield [
                     pa.array(np.arange(i, i + len(part), dtype=np.int32)),
-                    pa.array([row.tobytes() for row in part], pa.binary()),
+                    pa.array([zlib.compress(row.tobytes(), 1) for row in part], pa.binary()),
                 ]
 
 
@@ -89,8 +103,8 @@ def _added(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterat
     total = np.zeros(SLICE, np.int64)
     for batch in rows:
         for value in batch.column(1):
-            raw = value.as_buffer()
-            total += np.frombuffer(raw, np.uint32 if raw.size == 4 * SLICE else np.int64)
+            planes = np.frombuffer(zlib.decompress(value.as_py()), np.uint8).reshape(8, SLICE)
+            total += np.ascontiguousarray(planes.T).view(np.int64).reshape(-1)
     level = np.ceil(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
     yield pa.RecordBatch.from_arrays(
         [pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "n"]
@@ -122,18 +136,19 @@ def signatures(docs: DataFrame, carry: list[str], size: int, t: int) -> DataFram
     levels = docs.sparkSession.sparkContext.broadcast(commonness(docs.select("text"), size))
     fields = [
         field("n", "int"), field("set_key", "binary"), field("prefix_key", "binary"), field("prefix", "array<bigint>"),
+        field("bits", "array<bigint>"),
     ]
 
     def make():
         level = levels.value
 
         def work(texts):
-            n, keys, heads, prefixes = [], [], [], []
+            n, keys, heads, prefixes, bits = [], [], [], [], []
             for own in shingle_sets(texts, size):
                 k = len(own)
                 n.append(k)
                 if not k:
-                    keys.append(None), heads.append(None), prefixes.append(None)
+                    keys.append(None), heads.append(None), prefixes.append(None), bits.append(None)
                     continue
                 order = (level[bucket(own)].astype(np.uint64) << np.uint64(55)) | (mix(own) >> np.uint64(9))
                 length = k - required(k, t) + 1
@@ -143,9 +158,10 @@ def signatures(docs: DataFrame, carry: list[str], size: int, t: int) -> DataFram
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 heads.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
                 prefixes.append(signed(prefix))
+                bits.append(parities(own))
             return [
                 pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(heads, pa.binary()),
-                pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
             ]
 
         return work
@@ -200,6 +216,21 @@ def reachable(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, shared: Co
     return most * (100 + t) >= (n_a + n_b) * t
 
 
+def leading(n: Column, t: int) -> Column:
+    """Prefix shingles of the smaller set of a pair that suffice: n - ceil(2 t n / (100 + t)) + 1."""
+    return n - F.ceil(n * (2 * t) / (100 + t)) + 1
+
+
+def differing(a: str, b: str) -> Column:
+    """At least so many shingles are in one of the sets with these bitmaps only."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, PARITY)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def close(a: str, b: str, n_a: Column, n_b: Column, t: int) -> Column:
+    """False if the bitmaps show that the sets cannot be similar; true where a bitmap is missing."""
+    return F.coalesce(differing(a, b) * (100 + t) <= (n_a + n_b) * (100 - t), F.lit(True))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, t: int) -> DataFrame:
     """The pairs (a, b) of nodes, with the rows of a text of each, whose sets reach the similarity."""
     left = texts.select(F.col("row").alias("row_a"), F.col("text").alias("text_a"))
@@ -250,37 +281,46 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     nodes = stored(
         sigs.filter("n > 0")
         .groupBy("set_key", "prefix_key", "n")
-        .agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
+        .agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     member = stored(
-        nodes.join(groups.drop("prefix"), ["prefix_key", "n"]).select("grp", "node", "row"), "members"
+        nodes.join(groups.drop("prefix"), ["prefix_key", "n"]).select("grp", "node", "row", "n", "bits"), "members"
     )
     # first round: groups against a neighbour, members against the first of their group
+    keyed_bits = F.min(F.struct("node", "row", "bits")).alias("head")
     tokens = groups.select(F.posexplode("prefix").alias("pos", "token"), "n", "grp")
     tokens = tokens.select("token", "n", "pos", "grp")
-    heads = stored(member.groupBy("grp").agg(F.min(F.struct("node", "row")).alias("head")), "heads")
+    heads = stored(member.groupBy("grp", "n").agg(keyed_bits), "heads")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(parts, "token", "n", "grp").sortWithinPartitions("token", "n", "grp")
     schema = "token bigint, n int, pos int, grp bigint, n0 int, pos0 int, grp0 bigint"
     shared = stored(ordered.mapInArrow(_neighbours(percent), schema), "shared")
     near = (
         shared.filter("grp <> grp0 AND token IS NOT NULL")
+        .filter(F.col("pos0") < leading(F.col("n0"), percent))
         .filter(reachable(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0"), F.least("pos", "pos0") + 1, percent))
         .select(F.col("grp0").alias("grp_a"), F.col("grp").alias("grp_b"))
         .distinct()
     )
     sides = [
-        heads.select(F.col("grp").alias(f"grp_{c}"), F.col("head.node").alias(c), F.col("head.row").alias(f"row_{c}"))
+        heads.select(
+            F.col("grp").alias(f"grp_{c}"), F.col("n").alias(f"n_{c}"), F.col("head.node").alias(c),
+            F.col("head.row").alias(f"row_{c}"), F.col("head.bits").alias(f"bits_{c}"),
+        )
         for c in "ab"
-    ]
-    inner = member.join(heads, "grp").filter("node <> head.node")
-    inner = inner.select(
-        F.col("head.node").alias("a"), F.col("node").alias("b"),
-        F.col("head.row").alias("row_a"), F.col("row").alias("row_b"),
-    )
-    outer = near.join(sides[0], "grp_a").join(sides[1], "grp_b").select("a", "b", "row_a", "row_b")
+    ]
+    may = close("bits_a", "bits_b", F.col("n_a"), F.col("n_b"), percent)
+    outer = near.join(sides[0], "grp_a").join(sides[1], "grp_b").filter(may)
+    nearest = F.min(F.struct(differing("bits_a", "bits_b").alias("d"), "a", "b", "row_a", "row_b")).alias("p")
+    outer = outer.groupBy("grp_b").agg(nearest).select("p.a", "p.b", "p.row_a", "p.row_b")
+    inner = (
+        member.select("grp", F.col("node").alias("b"), F.col("row").alias("row_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+        .join(sides[0].withColumnRenamed("grp_a", "grp"), "grp")
+        .filter((F.col("a") != F.col("b")) & may)
+        .select("a", "b", "row_a", "row_b")
+    )
     pairs = stored(outer.union(inner), "pairs")
     texts = keyed.select("row", "text")
     links = stored(_links(pairs, _texts_of(texts, pairs), size, percent), "links")
@@ -288,37 +328,36 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     # second round: groups that share a shingle and are not of one class yet
     classed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classed = stored(classed, "classed")
-    spans = classed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    known = shared.select("token", "n", "pos", "grp").join(spans, "grp")
+    single = F.when(F.count(F.lit(1)) == 1, F.first("bits"))
+    spans = classed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), single.alias("bits"))
+    spans = stored(spans, "spans")
+    known = shared.select("token", "n", "pos", "grp").join(spans.drop("bits"), "grp")
     mixed = known.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).filter("x < y")
-    open_rows = stored(known.join(mixed.select("token"), "token"), "open")
-    one = open_rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("n", "pos", "grp", "lo", "hi")])
-    two = open_rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("n", "pos", "grp", "lo", "hi")])
+    open_rows = known.join(mixed.select("token"), "token").join(spans.select("grp", "bits"), "grp")
+    open_rows = stored(open_rows, "open")
+    names = ("n", "pos", "grp", "lo", "hi", "bits")
+    one, two = (open_rows.select("token", *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
+    n_a, n_b, pos_a, pos_b = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
     met = (
         one.join(two, "token")
-        .filter("grp_a < grp_b AND NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
+        .filter("(n_a < n_b OR (n_a = n_b AND grp_a < grp_b)) AND NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)")
         .filter(
-            (required(F.col("n_a"), percent) <= F.col("n_b"))
-            & (required(F.col("n_b"), percent) <= F.col("n_a"))
-            & reachable(
-                F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), F.least("pos_a", "pos_b") + 1, percent
-            )
+            (required(n_b, percent) <= n_a) & (pos_a < leading(n_a, percent))
+            & reachable(n_a, pos_a, n_b, pos_b, F.least("pos_a", "pos_b") + 1, percent)
+            & close("bits_a", "bits_b", n_a, n_b, percent)
         )
-        .groupBy("grp_a", "grp_b", "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-        .filter(reachable(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), F.col("c"), percent))
         .select("grp_a", "grp_b")
-    )
+        .distinct()
+    )
     split = spans.filter("lo < hi").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
-    sides = [
-        classed.select(*[F.col(x).alias(f"{y}_{c}") for x, y in (("grp", "grp"), ("node", "node"), ("row", "row"), ("root", "root"))])
-        for c in "ab"
-    ]
+    names = ("grp", "node", "row", "root", "n", "bits")
+    sides = [classed.select(*[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab"]
     rest = (
         met.union(split)
         .join(sides[0], "grp_a")
         .join(sides[1], "grp_b")
-        .filter("root_a <> root_b AND (grp_a < grp_b OR node_a < node_b)")
+        .filter("root_a <> root_b AND (grp_a <> grp_b OR node_a < node_b)")
+        .filter(close("bits_a", "bits_b", n_a, n_b, percent))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "row_a", "row_b")
     )
     rest = stored(rest, "pairs")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlight.llm import decontaminate, ngram_join
+from loomlight.llm import bpe, decontaminate, html_text, licenses, ngram_join, pii, quality_rules, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +16,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The word-piece vocabulary: $WORD_BPE_PATH, else the public one that is installed."""
+    if "WORD_BPE_PATH" in os.environ:
+        return os.environ["WORD_BPE_PATH"]
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_license_scan(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark, sf_dir):
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op9_ngram_jaccard_join)}
+def op10_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_quality_rules, op4_bpe, op5_license_scan, op6_suffix_dedup, op8_html_extraction,
+        op9_ngram_jaccard_join, op10_pii,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle()}

@@ -7,10 +7,9 @@ shared candidates rare. Equal sets are one node. Nodes with the same prefix and
 are one group, and only groups meet in the join on prefix shingles.
 
 Pairs come in two rounds, so that a large class of near copies does not give all its
-pairs. First each group is compared with the nearest of the groups that lead a block of
-one of its prefix shingles and are at most as large (blocks of a sort by shingle and size,
-which sampled bounds split anywhere, so a shingle of very many groups is no single task).
-Links found make classes. Then all pairs of groups that share a prefix shingle, pass the
+pairs. First each shingle has a lead: the group with it whose prefix is shared most, which
+for a family of copies is the text they were made from. Each group is compared with the
+nearest lead of its shingles. Links found make classes. Then all pairs of groups that share a prefix shingle, pass the
 length and positional bounds and are not of one class yet are compared. A bitmap of each
 set, whose bits say whether the number of shingles with that hash is odd, bounds how many
 shingles two sets differ in and stops most pairs before they are made. Each pair that is
@@ -169,45 +168,23 @@ def signatures(docs: DataFrame, carry: list[str], size: int, t: int) -> DataFram
     return map_texts(docs, "text", carry, fields, make)
 
 
-def _neighbours(t: int):
-    """Marks, in rows sorted by shingle and size, each with the last group it may be compared with first.
+def _shared(batches):
+    """Rows, sorted by shingle, whose shingle is in several groups, with how many the batch has of them.
 
-    Rows whose shingle stands at one group only are dropped, but for those at the ends
-    of a batch, where neighbours may be in the next one.
+    Rows at the ends of a batch stay too, as others with their shingle may be in the next one.
     """
-
-    def run(batches):
-        for batch in batches:
-            token, n, pos, group = (batch.column(i).to_numpy() for i in range(4))
-            k = len(token)
-            if not k:
-                continue
-            fresh = np.ones(k, bool)
-            fresh[1:] = token[1:] != token[:-1]
-            at = np.flatnonzero(fresh)
-            size = np.diff(np.append(at, k))
-            block = np.cumsum(fresh) - 1
-            # the first group of a block is the one to compare with, until sizes are too far apart
-            lead = at[block].copy()
-            far = np.flatnonzero(required(n, t) > n[lead])
-            while len(far):
-                b = block[far]
-                first = far[np.append(True, b[1:] != b[:-1])]
-                again = np.repeat(first, np.bincount(b, minlength=len(at))[np.unique(b)])
-                lead[far] = again
-                far = far[required(n[far], t) > n[lead[far]]]
-            keep = size[block] > 1
-            keep[: size[0]] = True
-            keep[at[-1] :] = True
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(x)
-                    for x in (token[keep], n[keep], pos[keep], group[keep], n[lead][keep], pos[lead][keep], group[lead][keep])
-                ],
-                names=["token", "n", "pos", "grp", "n0", "pos0", "grp0"],
-            )
-
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(at, len(token)))
+        several = size > 1
+        several[[0, -1]] = True
+        keep = pa.array(np.repeat(several, size))
+        here = pa.array(np.repeat(size, size))
+        columns = [c.filter(keep) for c in (*batch.columns, here)]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "n", "pos", "grp", "here"])
 
 
 def reachable(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, shared: Column, t: int) -> Column:
@@ -294,12 +271,18 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     tokens = tokens.select("token", "n", "pos", "grp")
     heads = stored(member.groupBy("grp", "n").agg(keyed_bits), "heads")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "token", "n", "grp").sortWithinPartitions("token", "n", "grp")
-    schema = "token bigint, n int, pos int, grp bigint, n0 int, pos0 int, grp0 bigint"
-    shared = stored(ordered.mapInArrow(_neighbours(percent), schema), "shared")
+    ordered = tokens.repartitionByRange(parts, "token", "grp").sortWithinPartitions("token", "grp")
+    schema = "token bigint, n int, pos int, grp bigint, here bigint"
+    shared = stored(ordered.mapInArrow(_shared, schema), "shared")
+    # the middle of a family shares most: what its members changed stands in them alone
+    ranked = shared.groupBy("grp").agg(F.sum("here").alias("score"))
+    best = F.max(F.struct("score", "grp", "n", "pos"))
+    leads = shared.join(ranked, "grp").groupBy("token").agg(best.alias("lead"))
+    leads = leads.select("token", F.col("lead.grp").alias("grp0"), F.col("lead.n").alias("n0"), F.col("lead.pos").alias("pos0"))
     near = (
-        shared.filter("grp <> grp0 AND token IS NOT NULL")
-        .filter(F.col("pos0") < leading(F.col("n0"), percent))
+        shared.join(leads, "token")
+        .filter("grp <> grp0")
+        .filter(required(F.greatest("n", "n0"), percent) <= F.least("n", "n0"))
         .filter(reachable(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0"), F.least("pos", "pos0") + 1, percent))
         .select(F.col("grp0").alias("grp_a"), F.col("grp").alias("grp_b"))
         .distinct()

@@ -175,8 +175,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))
     spoken = docs.select(F.explode(words).alias("term")).withColumn("h", F.xxhash64("term"))
     of_term = maybe_in(spoken, "h", asked).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.agg(F.count(F.lit(1)).alias("n_all"))
-    known = joint.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total))
+    total = found.agg(F.count(F.lit(1))).scalar()
+    known = joint.join(of_entity, "entity").join(of_term, "term").withColumn("n_all", total)
     gained = F.log(F.col("n") * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
     content = F.log(F.col("n_all") / F.col("n_entity"))
     share = F.when(content > 0, gained / content).otherwise(F.lit(0.0))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlight.llm import bpe, decontaminate, html_text, licenses, ngram_join, pii, quality_rules, suffixes
+from loomlight.llm import (
+    bpe, decontaminate, html_text, licenses, lm_scores, ngram_join, pii, quality_crf, quality_rules, suffixes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark, sf_dir):
+    return lm_scores.report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,6 +51,10 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality_crf.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return html_text.report(table(spark, sf_dir, "pages"))
 
@@ -60,8 +70,8 @@ def op10_pii(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_quality_rules, op4_bpe, op5_license_scan, op6_suffix_dedup, op8_html_extraction,
-        op9_ngram_jaccard_join, op10_pii,
+        op1_decontamination, op2_quality_rules, op3_lm_scores, op4_bpe, op5_license_scan, op6_suffix_dedup,
+        op7_quality_classifier, op8_html_extraction, op9_ngram_jaccard_join, op10_pii,
     )
 }
 

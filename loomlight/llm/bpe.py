@@ -1,10 +1,11 @@
 """Byte pair encoding through a table of distinct words, and decoding through the table of pieces.
 
 Texts are split into words in chunks of some million words. A chunk keeps, for each text,
-the places of its words in the chunk's own word list. The word lists meet by word, so
-each distinct word of the corpus is encoded once; the ids go back to the chunks that
-asked, and are put in by position. Between the steps only short lists move: a frequent
-word is one row for each chunk, however often it stands there.
+the places of its words in the chunk's own word list, frequent words first. The word
+lists, cut by a hash of the word, meet so that each distinct word of the corpus is encoded
+once; the ids go back to the chunks that asked, and are put in by position. A frequent
+word moves once for each chunk, however often it stands there. Lists of numbers move as
+deflated planes of their bytes.
 
 The tokenizer file is read once on the driver and sent along; its size does not depend
 on the data. It must split by a pattern and encode each word alone.
@@ -13,7 +14,9 @@ on the data. It must split by a pattern and encode each word alone.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from loomlight.llm.frames import field, pick, pieces
 from loomlight.session import stored
 
 #: Words of a chunk after which a new one begins.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 5_000_000
 
 
 def load(path: str) -> dict:
@@ -52,6 +55,9 @@ class Splitter:
         import regex
 
         self.words = regex.compile(pattern).findall
+        # the same for texts of ASCII only, where letters and digits are few
+        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.ascii_words = self.words if r"\p" in plain else re.compile(plain, re.ASCII).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def __call__(self, text: str) -> list[str]:
@@ -66,96 +72,118 @@ class Splitter:
         return out
 
     def plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words(text.lower())
+        if text.isascii():
+            return self.ascii_words(text.lower())
+        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
-def _planes(values: list[int]) -> bytes:
-    """Places as three planes of bytes, so that the high ones, mostly 0, compress well."""
-    return np.array(values, np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+class Places(dict):
+    """Words with the order in which they were first asked for."""
 
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
 
-def _places(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(3, -1).T
-    return out.reshape(-1).view(np.uint32)
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2 to the 32 as deflated planes of bytes; the high ones are mostly 0."""
+    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(planes.tobytes(), 1)
 
-def _chunks(shared, carry: list[str], schema: T.StructType):
-    """Rows of a chunk: its texts as places of words, then one row with its word list."""
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
+def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
+    """Rows of a chunk: its texts as places of words, then its word list cut into ``parts``."""
 
     def run(batches):
         splitter = Splitter(shared.value["pattern"], shared.value["special"])
-        base = TaskContext.get().partitionId() << 24
-        known: dict[str, int] = {}
-        seen, serial = 0, 0
-
-        def listed():
-            row = {c: None for c in carry} | {"chunk": base + serial, "words": None, "list": list(known)}
-            types = {f.name: kinds[f.name] for f in schema}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([row[name]], types[name]) for name in types], names=list(types)
-            )
-
-        kinds: dict[str, pa.DataType] = {}
+        serial = TaskContext.get().partitionId() << 24
+        names = [f.name for f in schema]
+        known, kept, places, seen = Places(), [], [], 0
+
+        def chunk():
+            asked = np.concatenate(places) if places else np.zeros(0, np.uint32)
+            count = np.bincount(asked, minlength=len(known))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            i = 0
+            for rows in kept:
+                n = rows.num_rows
+                raw = [packed(rank[x]) for x in places[i : i + n]]
+                i += n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns, pa.array([serial] * n, pa.int64()), pa.array(raw, pa.binary()),
+                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string())),
+                    ],
+                    names=names,
+                )
+            words = list(known)
+            part = np.array([zlib.crc32(w.encode()) % parts for w in words], np.int64)
+            for k in range(parts):
+                own = np.sort(rank[part == k])
+                if not len(own):
+                    continue
+                steps = packed(np.diff(own, prepend=np.uint32(0)))
+                listed = [words[j] for j in order[own]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.nulls(1, c.type) for c in kept[0].columns], pa.array([serial], pa.int64()),
+                        pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([steps], pa.binary()),
+                        pa.array([listed], pa.list_(pa.string())),
+                    ],
+                    names=names,
+                )
+
         for batch in batches:
-            if not kinds:
-                kinds = {c: batch.schema.field(c).type for c in carry} | {
-                    "chunk": pa.int64(), "words": pa.binary(), "list": pa.list_(pa.string()),
-                }
             for piece in pieces(batch, "text"):
-                at = piece.schema.get_field_index
-                rows = []
-                for text in piece.column(at("text")).to_pylist():
+                kept.append(piece.select(carry))
+                for text in piece.column(piece.schema.get_field_index("text")).to_pylist():
                     words = splitter(text or "")
                     seen += len(words)
-                    rows.append(_planes([known.setdefault(w, len(known)) for w in words]))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[piece.column(at(c)) for c in carry],
-                        pa.array([base + serial] * n, pa.int64()),
-                        pa.array(rows, pa.binary()),
-                        pa.nulls(n, pa.list_(pa.string())),
-                    ],
-                    names=[f.name for f in schema],
-                )
-                if seen >= CHUNK_WORDS or len(known) >= 1 << 23:
-                    yield listed()
-                    known.clear()
-                    seen, serial = 0, serial + 1
-        if kinds and (known or seen == 0):
-            yield listed()
+                    places.append(np.array(list(map(known.__getitem__, words)), np.uint32))
+                if seen >= CHUNK_WORDS:
+                    yield from chunk()
+                    serial, known, kept, places, seen = serial + 1, Places(), [], [], 0
+        if kept:
+            yield from chunk()
 
     return run
 
 
 def _encode(shared):
-    """Adds the ids of each row's word; equal words stand together and are encoded once."""
+    """The ids of each chunk's words of one part. Parts come one after the other; a word is encoded once."""
 
     def run(batches):
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_str(shared.value["model"])
         special = shared.value["special"]
-        last: tuple[str | None, list[int]] = (None, [])
+        now, ids = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(0).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = [w for w in words if w not in special and w != last[0]]
-            ids = dict(zip(fresh, (e.ids for e in coder.encode_batch(fresh, add_special_tokens=False))))
-            ids |= {w: [special[w]] for w in words if w in special}
-            if last[0] is not None:
-                ids.setdefault(last[0], last[1])
-            lists = pa.array([ids[w] for w in words], pa.list_(pa.int32()))
-            final = batch.column(0)[len(batch) - 1].as_py()
-            last = (final, ids[final])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), lists.take(coded.indices)], names=["chunk", "place", "ids"]
-            )
+            for i in range(batch.num_rows):
+                part = batch.column(0)[i].as_py()
+                if part != now:
+                    now, ids = part, {w: [at] for w, at in special.items()}
+                words = batch.column(3)[i].as_py()
+                fresh = [w for w in words if w not in ids]
+                for w, e in zip(fresh, coder.encode_batch(fresh, add_special_tokens=False)):
+                    ids[w] = e.ids
+                lists = [ids[w] for w in words]
+                sizes = np.array([len(x) for x in lists], np.uint32)
+                flat = np.array([x for own in lists for x in own], np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(1).slice(i, 1), batch.column(2).slice(i, 1),
+                        pa.array([packed(sizes)], pa.binary()), pa.array([packed(flat)], pa.binary()),
+                    ],
+                    names=["chunk", "steps", "sizes", "ids"],
+                )
 
     return run
 
@@ -164,25 +192,26 @@ def _placed(shared, carry: list[str], schema: T.StructType):
     """Puts the ids of a chunk's words in by position, and decodes them by the table of pieces."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        by_id = shared.value["pieces"]
-        order = np.argsort(words["place"].to_numpy())
-        lists = words["ids"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        flat = np.asarray(lists.flatten())
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1][order] if len(sizes) else sizes
+        by_id = np.array(shared.value["pieces"], object)
+        columns = [[unpacked(x) for x in words[c].to_pylist()] for c in ("steps", "sizes", "ids")]
+        none = [np.zeros(0, np.uint32)]
+        order = np.argsort(np.concatenate([np.cumsum(x) for x in columns[0]] or none))
+        sizes = np.concatenate(columns[1] or none).astype(np.int64)
+        flat = np.concatenate(columns[2] or none).astype(np.int32)
+        begins = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
-        shown = np.array([" ".join([by_id[i] for i in flat[b : b + n]]) for b, n in zip(begins, sizes)], object)
-        ids, decoded = [], []
+        shown = [" ".join(by_id[flat[b : b + n]]) for b, n in zip(begins.tolist(), sizes.tolist())]
+        ids, decoded, total = [], [], [0]
         for raw in texts["words"].to_pylist():
-            at = _places(raw)
+            at = unpacked(raw)
             n = sizes[at]
-            where = np.repeat(begins[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
-            ids.append(flat[where] if len(at) else np.zeros(0, np.int32))
-            decoded.append(" ".join(shown[at].tolist()))
-        columns = [*[texts[c] for c in carry], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-        return pa.table(columns, names=[f.name for f in schema])
+            total.append(total[-1] + int(n.sum()))
+            first = np.cumsum(n) - n
+            ids.append(flat[np.repeat(begins[at] - first, n) + np.arange(total[-1] - total[-2])])
+            decoded.append(" ".join([shown[i] for i in at.tolist()]))
+        listed = pa.LargeListArray.from_arrays(pa.array(total, pa.int64()), pa.array(np.concatenate(ids)))
+        new = [listed.cast(pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        return pa.table([*[texts[c] for c in carry], *new], names=[f.name for f in schema])
 
     return run
 
@@ -196,13 +225,16 @@ def encoded(docs: DataFrame, path: str, carry: list[str]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     kept = [T.StructField(f.name, f.dataType, True) for f in (docs.schema[c] for c in carry)]
-    schema = T.StructType([*kept, field("chunk", "bigint"), field("words", "binary"), field("list", "array<string>")])
-    split = stored(docs.select(*carry, "text").mapInArrow(_chunks(shared, carry, schema), schema), "words")
-    texts = split.filter("words IS NOT NULL").select(*carry, "chunk", "words")
-    asked = split.filter("list IS NOT NULL").select(F.posexplode("list").alias("place", "word"), "chunk")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_word = asked.select("word", "chunk", "place").repartition(parts, "word").sortWithinPartitions("word")
-    answers = by_word.mapInArrow(_encode(shared), "chunk bigint, place int, ids array<int>")
+    schema = T.StructType([
+        *kept, field("chunk", "bigint"), field("words", "binary"), field("part", "int"), field("steps", "binary"),
+        field("list", "array<string>"),
+    ])
+    split = stored(docs.select(*carry, "text").mapInArrow(_chunks(shared, carry, schema, parts), schema), "words")
+    texts = split.filter("words IS NOT NULL").select(*carry, "chunk", "words")
+    asked = split.filter("list IS NOT NULL").select("part", "chunk", "steps", "list")
+    by_word = asked.repartition(parts, "part").sortWithinPartitions("part")
+    answers = by_word.mapInArrow(_encode(shared), "chunk bigint, steps binary, sizes binary, ids binary")
     out = T.StructType([*kept, field("ids", "array<int>"), field("decoded", "string")])
     both = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return both.applyInArrow(_placed(shared, carry, out), out)

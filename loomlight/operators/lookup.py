@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
 from loomlight.operators.corpus import first_declaration
-from loomlight.operators.ordering import asked_keys, lookup_join, salted_join
+from loomlight.operators.ordering import asked_keys, lookup_join, split_join
 
 LIBRARY = "Modelica"  # fixed value: names that start so have no source in the corpus
 
 
 def position_filter(requests: DataFrame, variables: DataFrame) -> DataFrame:
     """Variables a request can see: those of its file up to its line, all if it has no line."""
-    seen = salted_join(variables, requests, ["file"])
+    seen = split_join(requests, variables, ["file"], ["req_id"], ["line_no", "name"])
     return seen.filter(F.col("line").isNull() | (F.col("line_no") <= F.col("line")))
 
 
@@ -121,6 +121,6 @@ def object_sources(requests: DataFrame, variables: DataFrame, sources: DataFrame
 def member_access(requests: DataFrame, variables: DataFrame, sources: DataFrame) -> DataFrame:
     """Variables of the type of the object before the last dot, as ``object.name``."""
     wanted = object_sources(requests, variables, sources)
-    return salted_join(variables, wanted, ["file"]).select(
+    return split_join(wanted, variables, ["file"], ["req_id"], ["line_no", "name"]).select(
         "req_id", "word", F.concat_ws(".", "object", "name").alias("name"), "type", "comment"
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomlight.functions import text as T
 from loomlight.operators.corpus import display
 from loomlight.operators.lookup import object_sources, position_filter
-from loomlight.operators.ordering import ordered_blocks, salted_join
+from loomlight.operators.ordering import lookup_join, ordered_blocks, split_join
 
 SUGGESTION = ["kind", "name", "parameters", "comment", "type"]
 
@@ -49,7 +49,7 @@ def namespace_children(requests: DataFrame, classes: DataFrame) -> DataFrame:
     scope = F.when(F.contains("word", F.lit(".")), T.head_before(F.col("word"), ".")).otherwise("")
     members = namespace_table(classes).withColumn("scope", F.coalesce("parent", F.lit("")))
     asked = requests.withColumn("scope", scope)
-    found = salted_join(members, asked, ["scope"])
+    found = split_join(asked, members, ["scope"], ["req_id"], ["name"])
     return found.select(*requests.columns, *classes.columns)
 
 
@@ -70,16 +70,18 @@ def prefix_nonmatch(scoped: DataFrame) -> DataFrame:
 def prefix_lookup(words: DataFrame, names: DataFrame) -> DataFrame:
     """Names that start with a word, for a table of words and one unscoped list of names.
 
-    A name is cut at every length up to the longest word and joined by equality,
-    so no name is compared with a word that it does not start with.
+    A name is cut at the lengths that the words have, and only leads that are words are
+    joined, so no name is compared with a word that it does not start with.
     """
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    cuts = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest)))
-    leads = names.filter("name <> ''").select(
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect() if r[0])
+    every = F.lit(lengths) if lengths else F.array().cast("array<int>")
+    cuts = F.filter(every, lambda n: n <= F.length("name"))
+    leads = names.select(
         *names.columns, F.explode(F.transform(cuts, lambda n: F.left("name", n))).alias("_lead")
     )
     asked = words.withColumn("_lead", F.col("word"))
-    return salted_join(leads, asked, ["_lead"]).select(*words.columns, *names.columns)
+    known = leads.join(asked.select("_lead").distinct(), "_lead", "left_semi")
+    return split_join(asked, known, ["_lead"]).select(*words.columns, *names.columns)
 
 
 def edit_distance() -> Column:
@@ -195,4 +197,4 @@ def completion_summary(suggestions: DataFrame, size: int = 512) -> DataFrame:
     """Counts per request with the sorted display strings, in blocks of at most ``size``."""
     shown = suggestions.select("req_id", "tier", display(F.col("kind"), F.col("name")).alias("shown"))
     blocks = ordered_blocks(shown, ["req_id"], ["shown", "tier"], F.col("shown"), "displays", size)
-    return salted_join(blocks, completion_counts(suggestions), ["req_id"])
+    return lookup_join(blocks, completion_counts(suggestions), ["req_id"], row_id=["req_id", "block"])

@@ -110,27 +110,48 @@ def asked_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     return key_counts(rows, on).filter(F.col("_n") > 0).select(*on)
 
 
+def row_hash(rows: DataFrame, row_id: Sequence[str] | None) -> Column:
+    """A hash that tells rows apart: of ``row_id``, else of all columns that can be hashed."""
+    names = row_id or [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*names)
+
+
+def partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_parts(rows: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """Keys with more rows than a shuffle partition has on average, and into how many such shares they go.
+
+    There are fewer of them than shuffle partitions, whatever the number of rows is.
+    """
+    counts = key_counts(rows, on)
+    total = counts.agg(F.sum("_n")).scalar()
+    shares = counts.withColumn("_share", F.col("_n") * partitions(rows) / total)
+    return shares.filter("_share > 1").select(*on, F.ceil("_share").alias(name))
+
+
+def _parted(rows: DataFrame, on: Sequence[str], row_id: Sequence[str] | None, parts: Column) -> Column:
+    """The part of each row. Rows with a null key meet nothing, so they may go anywhere."""
+    missing = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    return F.pmod(row_hash(rows, row_id), F.when(missing, F.lit(partitions(rows)).cast("bigint")).otherwise(parts))
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot_rows: int = 1_000_000,
+    row_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a ``table`` that has at most one row per key.
 
-    A key with more than ``hot_rows`` rows is hot: its rows are spread by a hash over
-    as many parts as it has ``hot_rows`` in it, and its one table row is repeated as
-    often. There are at most ``len(rows) / hot_rows`` such keys, so they are broadcast.
+    A key with more than a fair share of the rows is spread by a hash of ``row_id`` over
+    as many parts as it has shares, and its one table row is repeated as often.
     """
-    counts = key_counts(rows, on).filter(F.col("_n") > hot_rows)
-    hot = F.broadcast(counts.select(*on, F.ceil(F.col("_n") / hot_rows).alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    spread = (
-        rows.join(hot, [*on], "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), parts))
-        .drop("_parts")
-    )
+    hot = F.broadcast(hot_parts(rows, on, "_parts"))
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    spread = rows.join(hot, [*on], "left").withColumn("_salt", _parted(rows, on, row_id, parts)).drop("_parts")
     repeated = (
         table.join(hot, [*on], "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
@@ -139,16 +160,32 @@ def lookup_join(
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def salted_join(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 8
+def split_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    row_id: Sequence[str] | None = None,
+    table_id: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join ``rows``, whose keys may be hot, with a smaller ``table``.
+    """Join two tables that may both have very many rows of one key.
 
-    Each key of ``rows`` is spread over ``salts`` partitions by a hash of the row,
-    and ``table`` is repeated once per salt. The salt is a function of the row, so
-    a task that is run again sends each row to the same place.
+    Both sides are counted. A key that is hot on one side goes into parts there, by a hash
+    of the row's id, and its rows on the other side are repeated as often as there are
+    parts. Other keys are neither split nor copied. A part depends on the row alone, so a
+    task that is run again sends each row to the same place.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    repeated = table.withColumn("_salt", F.explode(every))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    one = F.lit(1).cast("bigint")
+    both = hot_parts(rows, on, "_a").join(hot_parts(table, on, "_b"), [*on], "full")
+    hot = F.broadcast(both.select(*on, F.coalesce("_a", one).alias("_na"), F.coalesce("_b", one).alias("_nb")))
+
+    def placed(side: DataFrame, ids: Sequence[str] | None, own: str, other: str) -> DataFrame:
+        parts = [F.coalesce(f"_n{x}", one) for x in (own, other)]
+        return (
+            side.join(hot, [*on], "left")
+            .withColumn(f"_{own}", _parted(side, on, ids, parts[0]))
+            .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), parts[1] - 1)))
+            .drop("_na", "_nb")
+        )
+
+    met = placed(rows, row_id, "a", "b").join(placed(table, table_id, "b", "a"), [*on, "_a", "_b"])
+    return met.drop("_a", "_b")

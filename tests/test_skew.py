@@ -42,12 +42,38 @@ def test_lookup_join_splits_hot_keys_and_loses_nothing(spark):
     table = df.select("key").distinct().filter("key <> 'k7'").withColumn("t", F.upper("key"))
     for how in ("inner", "left", "left_anti"):
         plain = df.join(table, "key", how)
-        split = ordering.lookup_join(df, table, ["key"], how, hot_rows=200)
+        split = ordering.lookup_join(df, table, ["key"], how)
         assert sorted(map(str, rows(split.select(*plain.columns)))) == sorted(map(str, rows(plain)))
 
 
-def test_salted_join_equals_a_plain_join(spark):
-    df = skewed(spark, 900)
-    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3)], "key string, t int")
-    plain, salted = df.join(table, "key"), ordering.salted_join(df, table, ["key"])
-    assert sorted(rows(salted, "key", "v", "t")) == sorted(rows(plain, "key", "v", "t"))
+def test_split_join_equals_a_plain_join(spark):
+    df = skewed(spark, 900).withColumn("options", F.create_map(F.lit("x"), F.col("v")))
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "key string, t int")
+    many = skewed(spark, 300).select("key", F.col("v").alias("t"))
+    for table in (few, many):
+        plain = df.drop("options").join(table, "key")
+        for split in (ordering.split_join(df, table, ["key"]), ordering.split_join(table, df, ["key"])):
+            assert sorted(rows(split, "key", "v", "t")) == sorted(rows(plain, "key", "v", "t"))
+
+
+def test_rows_of_a_hot_scope_are_split_and_others_not_copied(spark):
+    n = 8000
+    scope = F.when(F.col("id") % 10 > 0, "").otherwise(F.concat(F.lit("s"), F.col("id")))
+    asked = spark.range(n).select(F.col("id").alias("req_id"), scope.alias("scope"))
+    parts = ordering.hot_parts(asked, ["scope"], "_parts").collect()
+    assert [(r["scope"], r["_parts"]) for r in parts] == [("", 8)]
+    members = spark.createDataFrame([("", "a"), ("", "b"), ("s10", "c")], "scope string, name string")
+    met = ordering.split_join(asked, members, ["scope"], ["req_id"], ["name"])
+    assert met.count() == 2 * n * 9 // 10 + 1
+    sizes = asked.join(F.broadcast(ordering.hot_parts(asked, ["scope"], "_parts")), "scope", "left")
+    placed = sizes.withColumn("_a", ordering._parted(asked, ["scope"], ["req_id"], F.coalesce("_parts", F.lit(1).cast("bigint"))))
+    largest = placed.groupBy("scope", "_a").count().agg(F.max("count")).first()[0]
+    assert largest < n * 0.9 / 8 * 1.2
+
+
+def test_rows_with_null_keys_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("string").alias("key"), F.col("id").alias("v"))
+    table = spark.createDataFrame([("a", 1)], "key string, t int")
+    assert ordering.lookup_join(df, table, ["key"], "left").count() == 4000
+    salted = df.withColumn("_a", ordering._parted(df, ["key"], ["v"], F.lit(1).cast("bigint")))
+    assert salted.groupBy("_a").count().count() == 8

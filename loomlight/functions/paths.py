@@ -11,6 +11,11 @@ def canonical(path: Column) -> Column:
     return F.regexp_replace(path, r"[/\\]{1,2}", "/")
 
 
+def plain(path: Column) -> Column:
+    """The canonical path without a final separator; the root of all is empty."""
+    return F.rtrim(canonical(path), F.lit("/"))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -30,10 +35,11 @@ def ancestors_and_self(path: Column) -> Column:
     """Every leading part of the path, shortest first, the path itself last."""
     steps = segments(path)
     lead = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(steps)),
+    every = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))),
         lambda n: F.concat(lead, F.array_join(F.slice(steps, F.lit(1), n), "/")),
     )
+    return F.when(F.size(steps) == 0, F.array().cast("array<string>")).otherwise(every)
 
 
 def depth(path: Column) -> Column:
@@ -45,5 +51,8 @@ def is_hidden(name: Column) -> Column:
 
 
 def lies_under(path: Column, root: Column) -> Column:
-    """True for the root itself and everything below it; 'root2' is not below 'root'."""
-    return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))
+    """True for the root itself and everything below it; 'root2' is not below 'root'.
+
+    Both may be written with other separators, and the root with a final one.
+    """
+    return (plain(path) == plain(root)) | F.startswith(plain(path), F.concat(plain(root), F.lit("/")))

@@ -170,18 +170,19 @@ def validate_projects(projects: DataFrame, inventory: DataFrame) -> DataFrame:
 
     ``inventory`` is a node table (path, is_leaf). The script is looked up below the project.
     """
-    known = inventory.select("path", F.col("is_leaf").alias("_is_file"))
-    scripts = inventory.filter("is_leaf").select(
-        F.col("path").alias("_script"), F.lit(True).alias("_has_script")
-    )
-    wanted = projects.withColumn(
+    node = P.plain(F.col("path"))
+    known = inventory.filter(node != "").select(node.alias("_node"), F.col("is_leaf").alias("_is_file"))
+    scripts = inventory.filter("is_leaf").select(node.alias("_script"), F.lit(True).alias("_has_script"))
+    script = P.canonical(F.col("build_script"))
+    wanted = projects.withColumn("_node", node).withColumn(
         "_script",
-        F.when(F.startswith("build_script", F.lit("/")), F.col("build_script")).otherwise(
-            F.concat_ws("/", "path", "build_script")
-        ),
+        F.when(script.rlike("^(/|[A-Za-z]:/)"), script).otherwise(F.concat(F.col("_node"), F.lit("/"), script)),
     )
-    placed = lookup_join(wanted, known, ["path"], "left")
+    placed = lookup_join(wanted, known, ["_node"], "left")
+    # the root of all is a directory, whether or not the inventory lists it
+    placed = placed.withColumn("_is_file", F.when(F.col("_node") == "", F.lit(False)).otherwise(F.col("_is_file")))
     joined = placed.join(scripts, "_script", "left")
+    # The texts of the rules.
     quoted = F.concat(F.lit("`"), "path", F.lit("`"))
     place = F.when(
         F.col("_is_file").isNull(), F.concat(quoted, F.lit(" doesn't exist"))

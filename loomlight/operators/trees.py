@@ -122,18 +122,26 @@ def subtree_prune(nodes: DataFrame, output_dir: str | None = None) -> DataFrame:
     return nodes.filter(~bad)
 
 
+def directory(path: str) -> Column:
+    """The directory of a file; empty for files that lie in the root itself."""
+    return F.coalesce(P.parent(F.col(path)), F.lit(""))
+
+
+def enclosing(folder: Column) -> Column:
+    """The root, as the empty path, and every directory on the way down to ``folder``."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), P.ancestors_and_self(folder)))
+
+
 def package_roots(files: DataFrame, path: str = "path", marker: str = MARKER) -> DataFrame:
-    """Topmost directories that hold a marker file themselves."""
+    """Topmost directories that hold a marker file themselves; the root is the empty path.
+
+    A marker in the root makes it the only package root.
+    """
     marked = (
-        files.filter(P.file_name(F.col(path)) == marker)
-        .select(F.coalesce(P.parent(F.col(path)), F.lit("")).alias("root"))
-        .distinct()
+        files.filter(P.file_name(F.col(path)) == marker).select(directory(path).alias("root")).distinct()
     )
     above = marked.select(
-        "root",
-        F.explode(
-            F.filter(P.ancestors_and_self(F.col("root")), lambda a: a != F.col("root"))
-        ).alias("above"),
+        "root", F.explode(F.filter(enclosing(F.col("root")), lambda a: a != F.col("root"))).alias("above")
     )
     nested = above.join(marked.select(F.col("root").alias("above")), "above", "left_semi")
     return marked.join(nested.select("root").distinct(), "root", "left_anti")
@@ -147,10 +155,10 @@ def files_outside_packages(
     The question is answered per distinct directory; files only look their directory up.
     """
     roots = package_roots(files, path) if roots is None else roots
-    located = files.withColumn("_dir", F.coalesce(P.parent(F.col(path)), F.lit("")))
+    located = files.withColumn("_dir", directory(path))
     directories = asked_keys(located, ["_dir"])
     inside = (
-        directories.select("_dir", F.explode(P.ancestors_and_self(F.col("_dir"))).alias("root"))
+        directories.select("_dir", F.explode(enclosing(F.col("_dir"))).alias("root"))
         .join(roots.select("root"), "root", "left_semi")
         .select("_dir")
         .distinct()
@@ -161,8 +169,9 @@ def files_outside_packages(
 def load_order(files: DataFrame, libraries: DataFrame, path: str = "path") -> DataFrame:
     """What is loaded in which order: libraries, then package files, then single files."""
     roots = package_roots(files, path)
-    packages = roots.select(
-        F.lit(1).alias("stage"), F.concat_ws("/", "root", F.lit(MARKER)).alias("path")
+    markers = files.filter(P.file_name(F.col(path)) == MARKER).withColumn("root", directory(path))
+    packages = markers.join(roots, "root", "left_semi").select(
+        F.lit(1).alias("stage"), F.col(path).alias("path")
     )
     singles = files_outside_packages(files, roots, path).select(
         F.lit(2).alias("stage"), F.col(path).alias("path")

@@ -116,3 +116,13 @@ def test_project_rules(spark):
         8: [],
     }
     assert registry.accepted(checked).count() == 3 and registry.rejected(checked).count() == 5
+
+
+def test_projects_with_a_final_separator_and_at_the_root(spark):
+    inventory = spark.createDataFrame([("/a/b", False), ("/a/b/r.mos", True), ("/s.mos", True)], "path string, is_leaf boolean")
+    projects = spark.createDataFrame(
+        [(1, "/a/b/", None, "r.mos"), (2, "/", None, "s.mos"), (3, "\\a\\b", None, "/s.mos"), (4, "/a/c/", None, None)],
+        "id int, path string, output_dir string, build_script string",
+    )
+    checked = registry.validate_projects(projects, inventory)
+    assert {r.id: r.errors for r in checked.collect()} == {1: [], 2: [], 3: [], 4: ["`/a/c/` doesn't exist"]}

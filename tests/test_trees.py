@@ -5,16 +5,16 @@ from loomlight.operators import trees
 from tests.conftest import rows
 
 FILES = [
-    "common/file.mo",
-    "common/DS_Store",
-    "model.mo",
-    "test/package.mo",
-    "test/a.mo",
-    "test/t2/package.mo",
-    "test/t2/b.mo",
-    "util/package.mo",
-    "util/deep/down/c.mo",
-    "testing/d.mo",
+    "plain/tank.mo",
+    "plain/notes.txt",
+    "single.mo",
+    "pumps/package.mo",
+    "pumps/a.mo",
+    "pumps/inner/package.mo",
+    "pumps/inner/b.mo",
+    "valves/package.mo",
+    "valves/far/off/c.mo",
+    "pumps2/d.mo",
 ]
 
 
@@ -26,10 +26,10 @@ def test_tree_has_every_directory_once(spark):
     nodes = trees.path_tree(paths(spark, FILES))
     found = {r.path: r for r in nodes.collect()}
     directories = {p for p, r in found.items() if not r.is_leaf}
-    assert directories == {"common", "test", "test/t2", "util", "util/deep", "util/deep/down", "testing"}
+    assert directories == {"plain", "pumps", "pumps/inner", "valves", "valves/far", "valves/far/off", "pumps2"}
     assert nodes.count() == len(FILES) + len(directories)
-    assert found["util/deep"].parent == "util" and found["model.mo"].parent is None
-    assert found["util/deep/down/c.mo"].depth == 4
+    assert found["valves/far"].parent == "valves" and found["single.mo"].parent is None
+    assert found["valves/far/off/c.mo"].depth == 4
 
 
 def test_absolute_paths_keep_their_slash(spark):
@@ -40,7 +40,7 @@ def test_absolute_paths_keep_their_slash(spark):
 def test_root_size_is_the_node_count(spark):
     nodes = trees.path_tree(paths(spark, ["r/" + f for f in FILES]))
     sizes = dict(rows(trees.subtree_size(nodes), "path", "size"))
-    assert sizes["r"] == nodes.count() and sizes["r/test"] == 6 and sizes["r/model.mo"] == 1
+    assert sizes["r"] == nodes.count() and sizes["r/pumps"] == 6 and sizes["r/single.mo"] == 1
 
 
 def test_fold(spark):
@@ -75,15 +75,15 @@ def test_prune_drops_whole_subtrees(spark):
 
 def test_packages(spark):
     df = paths(spark, FILES)
-    assert sorted(rows(trees.package_roots(df))) == [("test",), ("util",)]
+    assert sorted(rows(trees.package_roots(df))) == [("pumps",), ("valves",)]
     assert sorted(r.path for r in trees.files_outside_packages(df).collect()) == [
-        "common/DS_Store",
-        "common/file.mo",
-        "model.mo",
-        "testing/d.mo",
+        "plain/notes.txt",
+        "plain/tank.mo",
+        "pumps2/d.mo",
+        "single.mo",
     ]
     order = rows(trees.load_order(df, paths(spark, ["lib/z.mo"])), "stage", "path")
-    assert order[:3] == [(0, "lib/z.mo"), (1, "test/package.mo"), (1, "util/package.mo")]
+    assert order[:3] == [(0, "lib/z.mo"), (1, "pumps/package.mo"), (1, "valves/package.mo")]
     assert len(order) == 7
 
 
@@ -98,3 +98,12 @@ def test_canonical_paths(spark):
     assert rows(df.select(P.canonical(F.col("path")))) == [("C:/a/b/c.mo",), ("/a/b",), ("a/b",)]
     under = P.lies_under(F.col("path"), F.lit("/a"))
     assert rows(paths(spark, ["/a", "/a/b", "/ab"]).filter(under)) == [("/a",), ("/a/b",)]
+
+
+def test_a_marker_in_the_root_makes_it_the_only_package(spark):
+    for lead in ("", "/"):
+        df = paths(spark, [lead + n for n in ("package.mo", "a/package.mo", "c/d.mo")])
+        assert rows(trees.package_roots(df)) == [("",)]
+        assert rows(trees.files_outside_packages(df)) == []
+        libraries = paths(spark, ["lib/z.mo"])
+        assert rows(trees.load_order(df, libraries)) == [(0, "lib/z.mo"), (1, lead + "package.mo")]

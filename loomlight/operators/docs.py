@@ -24,9 +24,9 @@ MISSING = """<!DOCTYPE html>
 
 
 def fill(template: Column, values: Sequence[tuple[str, Column]]) -> Column:
-    """Put values into ``{key}`` places, in the order given."""
+    """Put values into ``{key}`` places, in the order given; a missing value is empty."""
     for key, value in values:
-        template = F.replace(template, F.lit("{" + key + "}"), value)
+        template = F.replace(template, F.lit("{" + key + "}"), F.coalesce(value, F.lit("")))
     return template
 
 
@@ -40,7 +40,7 @@ def class_docs(docs: DataFrame, members: DataFrame, size: int = 512) -> DataFram
 
     ``docs`` is (class_name, info, revisions, header); an empty info means there is
     none. ``members`` is (class_name, member, comment). A class without members has one
-    block with an empty list.
+    block with an empty list. ``last_block`` is the number of the class's last block.
     """
     present = docs.filter("info <> ''")
     known = members.join(present.select("class_name"), "class_name", "left_semi")
@@ -57,20 +57,26 @@ def class_docs(docs: DataFrame, members: DataFrame, size: int = 512) -> DataFram
             F.coalesce("n_members", F.lit(0)).cast("bigint").alias("n_members"),
             F.coalesce("block", F.lit(0)).cast("bigint").alias("block"),
             F.coalesce("members", empty).alias("members"),
+            F.greatest(F.lit(0), F.ceil(F.coalesce("n_members", F.lit(0)) / size) - 1).cast("bigint").alias("last_block"),
         )
     )
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in a page."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def member_link(name: Column, comment: Column) -> Column:
     """One member as a list entry with a link, and its comment if there is one."""
-    shown = F.coalesce(F.concat(F.lit(" - "), comment), F.lit(""))
+    shown = F.coalesce(F.concat(F.lit(" - "), escaped(comment)), F.lit(""))
     link = F.concat(F.lit("<li><a href=\"?class="), F.url_encode(name), F.lit('">'))
-    return F.concat(link, name, F.lit("</a>"), shown, F.lit("</li>"))
+    return F.concat(link, escaped(name), F.lit("</a>"), shown, F.lit("</li>"))
 
 
-def docs_site(
-    classes: DataFrame, documented: DataFrame, size: int = 512, template: str = PAGE
-) -> DataFrame:
+def docs_site(classes: DataFrame, documented: DataFrame, template: str = PAGE) -> DataFrame:
     """One page per class as (class_name, part, html); classes without docs get a page that says so.
 
     ``documented`` is the result of :func:`class_docs`. The parts of a page in order
@@ -86,9 +92,8 @@ def docs_site(
         ("styles", F.lit(STYLES)),
     ]
     items = F.array_join(F.transform("members", lambda m: member_link(m["class_name"], m["comment"])), "\n")
-    last_block = F.greatest(F.lit(0), F.ceil(F.col("n_members") / size) - 1)
     opening = F.when(F.col("block") == 0, fill(F.lit(head + "<ul>"), values)).otherwise("")
-    closing = F.when(F.col("block") == last_block, fill(F.lit("</ul>" + tail), values)).otherwise("")
+    closing = F.when(F.col("block") == F.col("last_block"), fill(F.lit("</ul>" + tail), values)).otherwise("")
     pages = documented.select(
         "class_name", F.col("block").alias("part"), F.concat(opening, items, closing).alias("html")
     )

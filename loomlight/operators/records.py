@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -40,8 +40,41 @@ def record_schema(record: str) -> ST.StructType:
 
 
 def required_fields(record: str) -> list[str]:
-    optional = {part.split("?")[0].split()[-1] for part in RECORDS[record].split("?")[:-1]}
-    return [f.name for f in record_schema(record).fields if f.name not in optional]
+    return [f.name for f in record_schema(record).fields if f.name not in optional_fields(record)]
+
+
+def optional_fields(record: str) -> set[str]:
+    return {part.split("?")[0].split()[-1] for part in RECORDS[record].split("?")[:-1]}
+
+
+def fits(value: Column, kind: ST.DataType, optional: set[str] = frozenset()) -> Column:
+    """Whether a JSON value has the type as it is written: no text for a number, nothing missing or null.
+
+    Fields in ``optional`` may be missing or null; those of inner objects may not.
+    """
+    written = F.schema_of_variant(value)
+    if isinstance(kind, ST.StructType):
+        good = F.startswith(written, F.lit("OBJECT"))
+        for field in kind.fields:
+            inner = F.try_variant_get(value, f"$.{field.name}", "variant")
+            empty = inner.isNull() | F.is_variant_null(inner)
+            own = ~empty & fits(inner, field.dataType)
+            good = good & ((empty | own) if field.name in optional else own)
+    elif isinstance(kind, ST.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        good = F.startswith(written, F.lit("ARRAY")) & F.forall(items, lambda x: fits(x, kind.elementType))
+    elif isinstance(kind, ST.MapType):
+        items = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+        good = F.startswith(written, F.lit("OBJECT")) & F.forall(items, lambda x: fits(x, kind.valueType))
+    elif isinstance(kind, ST.StringType):
+        good = written == "STRING"
+    elif isinstance(kind, ST.DoubleType):
+        good = written.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    elif isinstance(kind, ST.IntegerType):
+        good = (written == "BIGINT") & F.try_variant_get(value, "$", "int").isNotNull()
+    else:
+        good = F.lit(True)
+    return F.coalesce(good, F.lit(False))
 
 
 def json_ingest(
@@ -52,8 +85,9 @@ def json_ingest(
 ) -> DataFrame:
     """Parse JSON text as one record type; adds ``record`` and ``accepted``.
 
-    Broken text, a missing field that is not optional and a value outside its closed
-    list reject the row. The kind of a suggestion is always such a list.
+    Broken text, a missing field that is not optional, at any depth, a value of another
+    JSON type and a value outside its closed list reject the row. The kind of a
+    suggestion is always such a list.
     """
     enums = dict(enums or {})
     if record == "Suggestion":
@@ -63,8 +97,7 @@ def json_ingest(
     parsed = texts.withColumn("record", F.from_json(F.col(column), schema, options))
     fields = F.col("record")
     good = fields.isNotNull() & fields[CORRUPT].isNull()
-    for name in required_fields(record):
-        good = good & fields[name].isNotNull()
+    good = good & fits(F.try_parse_json(F.col(column)), record_schema(record), optional_fields(record))
     for name, allowed in enums.items():
         good = good & fields[name].isin(list(allowed))
     return parsed.withColumn("accepted", F.coalesce(good, F.lit(False))).withColumn(

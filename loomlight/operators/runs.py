@@ -53,8 +53,13 @@ def run_results_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per cell: (keys, variable, value). Values are strings or doubles in ``wide``."""
     measured = [c for c in wide.columns if c not in keys]
     texts = wide.select(*keys, *[F.col(c).cast("string").alias(c) for c in measured])
-    long = texts.unpivot(list(keys), measured, "variable", "text")
-    return long.select(*keys, "variable", F.col("text").try_cast("double").alias("value"))
+    return cell_values(texts.unpivot(list(keys), measured, "variable", "text"))
+
+
+def cell_values(cells: DataFrame, text: str = "text") -> DataFrame:
+    """Cells with their text as a number, ``value``; null where it is none."""
+    kept = [c for c in cells.columns if c != text]
+    return cells.select(*kept, F.col(text).try_cast("double").alias("value"))
 
 
 def failed_runs(long: DataFrame, run: str = "run_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomlight.functions import paths as P
 from loomlight.operators import corpus, diagnostics, docs, lookup, names, records, registry, runs, trees
 from loomlight.plans import inputs
-from loomlight.session import cut, scratch_path, spread, stored
+from loomlight.session import cut, scratch_path, stored
 from loomlight.sources import files
 from loomlight.streaming import changelog, live
 
@@ -123,9 +123,9 @@ def vocab_source(spark, sf_dir):
 @query
 def run_results_long(spark, sf_dir):
     path = scratch_path(spark, "run-results")
-    files.write_run_results(inputs.run_tables(spark, sf_dir), path, "event_id")
-    wide = files.read_run_results(spark, path)
-    return runs.run_results_long(wide, ["run_id", "row_idx"])
+    for group in inputs.run_groups(spark, sf_dir):
+        files.write_run_results(group, path, "event_id")
+    return runs.cell_values(files.read_run_results(spark, path))
 
 
 @query
@@ -166,7 +166,7 @@ def recent_snapshot(spark, sf_dir):
 def docs_site(spark, sf_dir):
     classes = inputs.page_classes(spark, sf_dir)
     documented = docs.class_docs(inputs.page_docs(classes), inputs.page_members(classes), BLOCK)
-    return docs.docs_site(classes, documented, BLOCK)
+    return docs.docs_site(classes, documented)
 
 
 # ---- filters ---------------------------------------------------------------
@@ -239,7 +239,7 @@ def declaration_lookup(spark, sf_dir):
         .when(status == "O", F.concat(F.lit("item"), F.col("o_custkey") % 7 + 1))
         .otherwise(F.concat(F.lit("lib.P"), "o_orderkey"))
     )
-    orders = spread(inputs.table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = inputs.table(spark, sf_dir, "orders")
     requests = orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("req_id"),
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".mo")).alias("file"),

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +102,7 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc"), "doc_id").alias("file"), "text"
     )
 
@@ -117,14 +116,14 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("  parameter Integer "), F.substring_index("p_name", " ", -1),
         F.lit(";\n  /* "), "p_type", F.lit("\n  */ P"), key, F.lit(" next;\nend P"), key, F.lit(";\n"),
     )
-    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("part_"), key, F.lit(".mo")).alias("file"), text.alias("text")
     )
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a file and each of its line items a line that declares item<n>."""
-    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    item = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "Real").otherwise(
         F.concat(F.lit("P"), "l_partkey")
     )
@@ -140,7 +139,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per order: a member of one of its items, or of none."""
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     return orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("req_id"),
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".mo")).alias("file"),
@@ -269,7 +268,7 @@ def log_key() -> Column:
 
 def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One compiler log per line item; its flags choose the form of the log."""
-    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    item = table(spark, sf_dir, "lineitem")
     values = _numbers()
     positioned = _written(
         "Error processing file: o{order}.mo\n"
@@ -304,7 +303,7 @@ def logs_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log of the second dialect per line item, with a warning before an error."""
-    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    item = table(spark, sf_dir, "lineitem")
     values = _numbers()
     warning = _written(
         "Warning: in file '/work/o{order}.mo':\nAt line {qty}, column {line}:\n  Odd S{supp}\n\n", values
@@ -354,7 +353,7 @@ def check_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run report per order; the order status chooses how the run ended."""
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
     error = F.when(status == "F", F.concat(F.lit("Error: run "), key, F.lit(" broke"))).when(
         status == "O", F.concat(F.lit("Warning: slow step in "), key)
@@ -391,6 +390,18 @@ def run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Runs of the event types below have other variables than the rest.
+FLOWS = ("purchase", "signup")
+
+
+def run_groups(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The runs of :func:`run_tables` in two tables with different variables."""
+    runs = run_tables(spark, sf_dir)
+    flows = F.col("run_id").isin(*FLOWS)
+    other = runs.filter(flows).select("run_id", "event_id", F.col("user").alias("_user, id"), "time")
+    return [runs.filter(~flows), other]
+
+
 def registry_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_events(table(spark, sf_dir, "events"))
 
@@ -442,7 +453,7 @@ def option_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "solver": "'), "event_type", F.lit('", "stopTime": '),
         F.col("user_id").cast("string"), F.lit(', "outputFormat": "mat"'), flag, F.lit("}"),
     )
-    events = spread(table(spark, sf_dir, "events"), "event_id")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", options.alias("options"))
 
 
@@ -468,7 +479,7 @@ def suggestion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    events = spread(table(spark, sf_dir, "events"), "event_id")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", text.alias("json"))
 
 

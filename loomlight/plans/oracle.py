@@ -468,7 +468,10 @@ ORACLES: dict[str, str] = {
     "run_results_long": f"""
         SELECT run_id, variable, value,
                CAST(row_number() OVER (PARTITION BY run_id, variable ORDER BY event_id) - 1 AS BIGINT) AS row_idx
-        FROM ({RUN_CELLS})""",
+        FROM (SELECT run_id, event_id, value,
+                     CASE WHEN run_id IN ('purchase', 'signup') AND variable = 'user' THEN '_user, id'
+                          ELSE variable END AS variable
+              FROM ({RUN_CELLS}) WHERE run_id NOT IN ('purchase', 'signup') OR variable <> 'value')""",
     "json_ingest": """
         SELECT event_id, event_type IN ('signup', 'purchase') AS accepted,
                CASE event_type WHEN 'signup' THEN 'Function' WHEN 'purchase' THEN 'Variable' END AS kind,

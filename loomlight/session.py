@@ -47,16 +47,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of fewer splits than cores by its keys, before heavy work on each row.
-
-    A small file is one split however costly its rows are. A table with enough
-    splits, so every large one, is left as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses, below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

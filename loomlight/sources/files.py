@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
-from loomlight.operators.ordering import group_positions
+from loomlight.operators.ordering import group_positions, lookup_join
+
+
+def file_path(uri: Column) -> Column:
+    """The plain path of a file URI: decoded, a plus sign kept, and without the scheme ``file:``."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^file:/+", "/")
 
 
 def inventory(paths: DataFrame, extension: str = ".mo", path: str = "path") -> DataFrame:
@@ -36,7 +42,7 @@ def read_corpus(spark: SparkSession, root: str, extension: str = ".mo") -> DataF
         .text(root, wholetext=True)
     )
     return texts.select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/").alias("file"),
+        file_path(F.col("_metadata.file_path")).alias("file"),
         F.col("value").alias("text"),
     )
 
@@ -47,31 +53,50 @@ def read_words(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return words.select(F.lit(kind).alias("kind"), F.col("value").alias("name"))
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of one CSV line; a quoted cell may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(line, F.lit(r'(?<=^|,)("(?:[^"]|"")*+"|[^,]*)'), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')), inner(c)).otherwise(c))
+
+
 def read_run_results(spark: SparkSession, path: str, run: str = "run_id") -> DataFrame:
-    """Wide result files (one column per variable) with their row order as ``row_idx``.
+    """Result files as cells (run, row_idx, variable, text); each file has a header of its own.
 
-    Runs are sub-folders ``run_id=...``. Spark keeps no order over a shuffle, so
-    each row gets its place (file, block in the file, row in the block) before any.
+    Runs are sub-folders ``run_id=...`` and may have different variables. Spark keeps no
+    order over a shuffle, so each line gets its place (file, block in the file, line in
+    the block) before any.
     """
-    raw = spark.read.option("header", True).csv(path)
-    placed = raw.select(
-        "*",
+    lines = spark.read.text(path).select(
+        run,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
+        F.col("value").alias("_line"),
+    )
+    place = ["_file", "_block", "_row"]
+    top = F.min(F.struct("_block", "_row", "_line")).alias("_top")
+    heads = lines.groupBy("_file").agg(top).select(
+        "_file", F.col("_top._row").alias("_head"), csv_cells(F.col("_top._line")).alias("_names")
     )
-    order = ["_file", "_block", "_row"]
-    return group_positions(placed, [run], order, "row_idx").drop(*order)
+    placed = lookup_join(lines, heads, ["_file"], row_id=place).filter("_row <> _head")
+    numbered = group_positions(placed, [run], place, "row_idx")
+    cells = numbered.withColumn("_cells", csv_cells(F.col("_line")))
+    return cells.select(
+        run, "row_idx", F.posexplode("_names").alias("_pos", "variable"), "_cells"
+    ).select(run, "row_idx", "variable", F.get("_cells", F.col("_pos")).alias("text"))
 
 
 def write_run_results(wide: DataFrame, path: str, order: str, run: str = "run_id") -> None:
-    """Write wide results as CSV, one folder per run, rows in ``order``."""
+    """Add wide results as CSV, one folder per run, rows in ``order``."""
     (
         wide.repartitionByRange(run, order)
         .sortWithinPartitions(run, order)
         .drop(order)
-        .write.partitionBy(run)
+        .write.mode("append")
+        .partitionBy(run)
         .option("header", True)
+        .option("escape", '"')
         .csv(path)
     )
 

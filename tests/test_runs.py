@@ -56,8 +56,9 @@ def test_result_files_keep_row_order(spark, tmp_path):
     wide = spark.createDataFrame(data, "run_id string, i int, time string, h double")
     files.write_run_results(wide, str(tmp_path / "runs"), "i")
     read = files.read_run_results(spark, str(tmp_path / "runs"))
-    assert sorted(rows(read, "run_id", "row_idx", "time")) == [(r, i, f"{i * 0.01:.2f}") for r, i, *_ in data]
-    long = runs.run_results_long(read, ["run_id", "row_idx"])
+    times = read.filter("variable = 'time'")
+    assert sorted(rows(times, "run_id", "row_idx", "text")) == [(r, i, f"{i * 0.01:.2f}") for r, i, *_ in data]
+    long = runs.cell_values(read)
     assert long.count() == 2 * 2 * n and rows(runs.failed_runs(long)) == []
     series = runs.run_series(long, ["run_id", "variable"], size=64).filter("variable = 'h' and run_id = 'a'")
     blocks = series.orderBy("block").collect()
@@ -69,6 +70,50 @@ def test_result_files_keep_row_order(spark, tmp_path):
     assert len({len(v) for v in found["a"].values()}) == 1
 
 
+def test_json_types_and_inner_fields_count(spark):
+    place = '{"line": 1, "column": 2}'
+    texts = {
+        "CompletionRequest": {
+            f'{{"file": "a", "position": {place}, "word": "x"}}': True,
+            '{"file": "a", "position": {}, "word": "x"}': False,
+            '{"file": "a", "position": {"line": 1, "column": null}, "word": "x"}': False,
+            f'{{"file": "a", "position": {place}, "word": 5}}': False,
+            f'{{"file": {{"z": 1}}, "position": {place}, "word": "x"}}': False,
+            '{"file": "a", "position": {"line": "1", "column": 2}, "word": "x"}': False,
+        },
+        "SimulationResult": {
+            '{"modelName": "m", "variables": {"h": [1, 2.5], "v": []}}': True,
+            '{"modelName": "m", "variables": {"h": [1, null]}}': False,
+            '{"modelName": "m", "variables": {"h": 1}, "warning": null}': False,
+        },
+        "CompilerError": {
+            f'{{"type": "Error", "file": "f", "start": {place}, "end": {place}, "message": "m"}}': True,
+            f'{{"type": "Error", "file": "f", "start": {place}, "end": [], "message": "m"}}': False,
+        },
+    }
+    for record, cases in texts.items():
+        df = spark.createDataFrame([(x,) for x in cases], "json string")
+        assert {r.json: r.accepted for r in records.json_ingest(df, record).collect()} == cases
+
+
+def test_each_run_keeps_its_own_variables(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    one = spark.createDataFrame([("a", 0, 0.0, 1.5), ("a", 1, 0.5, 2.5)], "run_id string, i int, time double, h double")
+    two = spark.createDataFrame([("b", 0, 3.0, "0.0", None)], 'run_id string, i int, `w, ""x""` double, time string, v string')
+    for wide in (one, two):
+        files.write_run_results(wide, path, "i")
+    assert sorted(rows(runs.cell_values(files.read_run_results(spark, path))), key=str) == [
+        ("a", 0, "h", 1.5), ("a", 0, "time", 0.0), ("a", 1, "h", 2.5), ("a", 1, "time", 0.5),
+        ("b", 0, "time", 0.0), ("b", 0, "v", None), ("b", 0, 'w, ""x""', 3.0),
+    ]
+
+
+def test_csv_cells(spark):
+    lines = ["a,b", ",b", "a,", "", '"x, ""y""",2', "a,,c"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(files.csv_cells(F.col("line"))).collect()
+    assert [r[0] for r in got] == [["a", "b"], ["", "b"], ["a", ""], [""], ['x, "y"', "2"], ["a", "", "c"]]
+
+
 def test_cells_that_are_no_numbers_fail_their_run(spark):
     wide = spark.createDataFrame([("a", 0, "1.0"), ("b", 0, "x")], "run_id string, row_idx int, h string")
     long = runs.run_results_long(wide, ["run_id", "row_idx"])
@@ -135,7 +180,7 @@ def test_pages(spark, tmp_path):
         ("A", 2): ["A.m06"],
         ("C", 0): [],
     }
-    pages = docs.docs_site(described, documented, size=3)
+    pages = docs.docs_site(described, documented)
     html = {}
     for r in pages.orderBy("class_name", "part").collect():
         html[r.class_name] = html.get(r.class_name, "") + r.html + "\n"

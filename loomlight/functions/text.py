@@ -28,7 +28,8 @@ CLASS_PREFIXES = r"(?:(?:encapsulated|partial|final|expandable|operator|pure|imp
 CLASS_WORDS = r"(model|class|package|function|record|block|connector|type)"
 CLASS_OPENING = r"\A\s*" + CLASS_PREFIXES + CLASS_WORDS + r"\s+([A-Za-z_]\w*)"
 FUNCTION_INPUT = r"\binput\s+(\w+)\s+(\w+)"
-COMMENT_TOKENS = r"(?s)/\*.*?\*/|//[^\n]*|[^/]+|/"
+# A string is one token, so comment signs inside it are text.
+COMMENT_TOKENS = r'(?s)"(?:[^"\\]|\\.)*+"|/\*.*?\*/|//[^\n]*|[^/"]+|[/"]'
 
 
 def matched(column: Column, pattern: str, group: int = 0) -> Column:

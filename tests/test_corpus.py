@@ -151,3 +151,11 @@ def test_word_lists(spark, tmp_path):
     (tmp_path / "words").write_text("model\n\nend\n")
     found = files.read_words(spark, str(tmp_path / "words"), "Keyword")
     assert rows(found) == [("Keyword", "model"), ("Keyword", "end")]
+
+
+def test_comment_signs_in_strings_are_text(spark):
+    text = 'Real x "see http://a.b/c";\nReal y "a /* b";  // gone\nReal z "q \\" // r"; /* out\n*/ Real w;\n'
+    lines = corpus.corpus_lines(corpus.strip_comments(spark.createDataFrame([("f", text)], "file string, text string")))
+    found = {r.name: r.comment for r in corpus.extract_variables(lines).collect()}
+    assert found == {"x": "see http://a.b/c", "y": None, "z": None, "w": None}
+    assert [r.line for r in lines.orderBy("line_no").collect()][1].rstrip() == 'Real y "a /* b";'

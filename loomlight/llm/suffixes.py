@@ -184,23 +184,42 @@ def _covered(size: int):
     between which the distinct windows with their smallest document stay.
     """
 
-    def judged(docs, parts, old):
-        """Whether each window is covered, and the windows with their smallest document."""
-        sizes = np.array([len(p) for p in parts], np.int64)
-        count = sizes - size + 1
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        part = np.frombuffer(b"".join(parts), np.uint8)
-        words = _windows(part, begin, count, size)
-        doc = np.repeat(docs, count)
-        if old is not None:
-            words, doc = np.concatenate([old[0], words]), np.concatenate([old[1], doc])
-        order, cls = multikey_order(words, doc)
-        head = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        least = doc[order][head][cls]
-        covered = np.zeros(len(doc), bool)
-        covered[order] = least < doc[order]
-        skip = 0 if old is None else len(old[1])
-        return count, covered[skip:], (words[order][head], doc[order][head])
+    def judged(key, docs, parts, old):
+        """How many windows each stretch has, whether each is covered, and the distinct windows.
+
+        Equal stretches are one, with their smallest document. Only where an anchor has
+        several distinct stretches are their windows sorted.
+        """
+        coded = parts.dictionary_encode()
+        code = coded.indices.to_numpy()
+        data, bounds = text_buffer(coded.dictionary)
+        windows = np.diff(bounds) - size + 1
+        n = len(windows)
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, docs)
+        anchor = np.empty(n, np.int64)
+        anchor[code] = key
+        _, group, alone = np.unique(anchor, return_inverse=True, return_counts=True)
+        several = (alone[group] > 1) | (old is not None)
+        first = np.cumsum(windows) - windows
+        of_window = np.repeat(least, windows)
+        seen = old
+        some = np.flatnonzero(several)
+        if len(some):
+            words = _windows(data, bounds[some], windows[some], size)
+            doc = np.repeat(least[some], windows[some])
+            skip = 0
+            if old is not None:
+                words, doc, skip = np.concatenate([old[0], words]), np.concatenate([old[1], doc]), len(old[1])
+            order, cls = multikey_order(words, doc)
+            head = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+            found = np.empty(len(doc), np.int64)
+            found[order] = doc[order][head][cls]
+            of_window[np.repeat(several, windows)] = found[skip:]
+            seen = (words[order][head], doc[order][head])
+        count = windows[code]
+        at = np.repeat(first[code] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return count, of_window[at] < np.repeat(docs, count), seen
 
     def rows(docs, tags, first, count, covered):
         at = np.repeat(np.arange(len(docs)), count)
@@ -236,10 +255,7 @@ def _covered(size: int):
                     old, rest = None, table.slice(cut)
                     held, n = rest.to_batches(), rest.num_rows
                 else:  # all of one anchor, which may go on
-                    going_on = old[1] if old and old[0] == key[0] else None
-                    if old and going_on is None:
-                        old = None
-                    out, seen = work(table, going_on)
+                    out, seen = work(table, old[1] if old and old[0] == key[0] else None, True)
                     old, held, n = (key[0], seen), [], 0
                     yield out
         if n:
@@ -254,10 +270,15 @@ def _covered(size: int):
         if same < table.num_rows:
             yield work(table.slice(same), None)[0]
 
-    def work(table, old):
+    def work(table, old, going_on=False):
         table = table.combine_chunks()
-        docs, tags, first = (table.column(i).to_numpy() for i in (1, 2, 3))
-        count, covered, seen = judged(docs, table.column(4).to_pylist(), old)
+        key, docs, tags, first = (table.column(i).to_numpy() for i in (0, 1, 2, 3))
+        parts = table.column(4).combine_chunks()
+        parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+        count, covered, seen = judged(key, docs, parts, old)
+        if going_on and seen is None:  # one stretch so far; more may follow
+            data, bounds = text_buffer(parts.slice(0, 1))
+            seen = (_windows(data, bounds[:1], np.diff(bounds) - size + 1, size), np.full(int(bounds[1]) - size + 1, docs[0]))
         return rows(docs, tags, first, count, covered), seen
 
     return run
@@ -301,16 +322,25 @@ def without_repeats(docs: DataFrame, carry: list[str], size: int = SIZE) -> Data
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = keyed.filter(F.col("tag") < 1 << 24).select("doc", "tag", "text")
+    # a whole copy of a text in a smaller document is covered as it is
+    texts = named.select("doc", "tag", F.md5("text").alias("md5"), F.octet_length("text").cast("bigint").alias("n"))
+    firsts = texts.groupBy("md5").agg(F.min("doc").alias("least"))
+    copies = texts.join(firsts, "md5").filter((F.col("doc") > F.col("least")) & (F.col("n") >= size))
+    copies = stored(copies.select("doc", "tag", "n").distinct(), "copies")
     suffixes = named.mapInArrow(_suffixes(size), "lead bigint, doc bigint")
     ordered = suffixes.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
     repeated = ordered.mapInArrow(_repeated, "doc bigint, tag bigint, key bigint")
-    asked = stored(repeated.groupBy("doc", "tag").agg(F.collect_list("key").alias("keys")), "anchors")
-    near = keyed.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "keys")
+    asked = repeated.groupBy("doc", "tag").agg(F.collect_list("key").alias("keys"))
+    asked = stored(asked.join(copies, ["doc", "tag"], "left_anti"), "anchors")
+    # the same columns as in the last join, so that texts are shuffled once for both
+    near = keyed.join(asked, ["doc", "tag"]).select(*own, "doc", "tag", "text", "keys")
     schema = "key bigint, doc bigint, tag bigint, first bigint, part binary"
     stretches = near.mapInArrow(_stretches(size), schema).repartition(parts, "key").sortWithinPartitions("key", "doc")
     covered = stretches.mapInArrow(_covered(size), "doc bigint, tag bigint, start bigint, stop bigint")
     spans = covered.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = keyed.join(stored(spans, "repeats"), ["doc", "tag"], "left").select(*own, "text", "spans")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n").alias("stop"))).alias("spans")
+    spans = spans.unionByName(copies.select("doc", "tag", whole))
+    both = keyed.join(spans, ["doc", "tag"], "left").select(*own, "text", "spans")
     schema = T.StructType([
         *[both.schema[c] for c in own], field("n_bytes", "bigint"),
         field("removed", "array<struct<start:bigint,stop:bigint>>"), field("kept", "binary"),

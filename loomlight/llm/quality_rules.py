@@ -27,8 +27,8 @@ RUN = 8
 #: measure -> (least interquartile range, whether low values are fenced off too)
 MEASURES = {
     "symbols": (50, False),
-    "dup_lines": (100, False),
-    "repeats": (50, False),
+    "dup_lines": (150, False),
+    "repeats": (100, False),
     "stutters": (30, False),
     "word_length": (60, True),
 }

@@ -27,6 +27,9 @@ IDENTIFIER = r"(\w[\w\-]*)"
 CLASS_PREFIXES = r"(?:(?:encapsulated|partial|final|expandable|operator|pure|impure)\s+)*"
 CLASS_WORDS = r"(model|class|package|function|record|block|connector|type)"
 CLASS_OPENING = r"\A\s*" + CLASS_PREFIXES + CLASS_WORDS + r"\s+([A-Za-z_]\w*)"
+CLASS_CLOSING = r"\A\s*end\s+(?!(?:if|for|when|while)\s*;)([A-Za-z_]\w*)\s*;"
+CLASS_SHORT = r"\A\s*" + CLASS_PREFIXES + CLASS_WORDS + r"\s+[A-Za-z_]\w*\s*="
+WITHIN = r"\A\s*within\s+([A-Za-z_][\w.]*)\s*;"
 FUNCTION_INPUT = r"\binput\s+(\w+)\s+(\w+)"
 # A string is one token, so comment signs inside it are text.
 COMMENT_TOKENS = r'(?s)"(?:[^"\\]|\\.)*+"|/\*.*?\*/|//[^\n]*|[^/"]+|[/"]'

@@ -65,15 +65,16 @@ def class_source_lookup(
 def declared_classes(classes: DataFrame, sources: DataFrame) -> DataFrame:
     """Full class name to the file and line that declare it.
 
-    The line is the first one in the class's file that opens a class of the last part
-    of the name. A class whose file has no such line is left out.
+    The line is the first one in the class's file that opens a class of that full name,
+    or else of the last part of the name. A class whose file has no such line is left out.
     """
-    openings = classes.groupBy(F.col("file").alias("source_file"), "class_name").agg(
-        F.min("line_no").alias("class_line")
-    )
-    named = project_sources(sources).withColumn("simple", F.substring_index("class_name", ".", -1))
-    lines = openings.withColumnRenamed("class_name", "simple")
-    return named.join(lines, ["source_file", "simple"]).drop("simple")
+    simple = F.substring_index("class_name", ".", -1).alias("simple")
+    place = F.min("line_no")
+    openings = classes.groupBy(F.col("file").alias("source_file"), simple).agg(place.alias("_any"))
+    exact = classes.groupBy(F.col("file").alias("source_file"), "class_name").agg(place.alias("_own"))
+    named = project_sources(sources).select("*", simple)
+    lines = named.join(openings, ["source_file", "simple"]).join(exact, ["source_file", "class_name"], "left")
+    return lines.withColumn("class_line", F.coalesce("_own", "_any")).drop("simple", "_any", "_own")
 
 
 def declaration_lookup(

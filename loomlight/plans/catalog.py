@@ -436,6 +436,11 @@ def extract_classes(spark, sf_dir):
     return part_classes(spark, sf_dir)
 
 
+@query
+def class_catalogue(spark, sf_dir):
+    return corpus.class_catalogue(corpus.corpus_lines(inputs.package_files(spark, sf_dir)))
+
+
 @query
 def extract_parameters(spark, sf_dir):
     classes = corpus.extract_parameters(corpus.class_kind(inputs.classes(spark, sf_dir)))

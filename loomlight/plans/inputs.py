@@ -121,6 +121,17 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per part, inside its brand: a package with an alias and two nested models."""
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("within Lib."), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(";\npackage P"), key,
+        F.lit("\n  type Size = Real;\n  model Outer\n    model Inner\n      Real a;\n    equation\n      when a > 0 then\n"),
+        F.lit("      end when;\n    end Inner;\n  end Outer;\n  partial block Last\n  end Last;\nend P"), key, F.lit(";\n"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("lib/P"), key, F.lit(".mo")).alias("file"), text.alias("text"))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a file and each of its line items a line that declares item<n>."""
     item = table(spark, sf_dir, "lineitem")

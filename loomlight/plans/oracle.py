@@ -19,6 +19,13 @@ WORDS = ", ".join(
     for word in words
 )
 
+def shown(column: str) -> str:
+    """Text as it stands in a page."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        column = f"replace({column}, '{sign}', '{name}')"
+    return column
+
+
 FRAGMENTS: dict[str, tuple[str, list[str]]] = {}
 
 
@@ -411,8 +418,8 @@ fragment(
     SELECT parent AS class_name, (n - 1) // {BLOCK} AS block, max(total) AS n_members,
            string_agg(CASE WHEN comment IS NULL THEN member ELSE member || ' - ' || comment END,
                       '|' ORDER BY n) AS members,
-           string_agg('<li><a href="?class=' || url_encode(member) || '">' || member || '</a>' ||
-                      coalesce(' - ' || comment, '') || '</li>', chr(10) ORDER BY n) AS items
+           string_agg('<li><a href="?class=' || url_encode(member) || '">' || {shown("member")} || '</a>' ||
+                      coalesce(' - ' || {shown("comment")}, '') || '</li>', chr(10) ORDER BY n) AS items
     FROM (SELECT parent, class_name AS member, nullif(title, '') AS comment,
                  row_number() OVER (PARTITION BY parent ORDER BY class_name) AS n,
                  count(*) OVER (PARTITION BY parent) AS total
@@ -472,6 +479,16 @@ ORACLES: dict[str, str] = {
                      CASE WHEN run_id IN ('purchase', 'signup') AND variable = 'user' THEN '_user, id'
                           ELSE variable END AS variable
               FROM ({RUN_CELLS}) WHERE run_id NOT IN ('purchase', 'signup') OR variable <> 'value')""",
+    "class_catalogue": """
+        SELECT scope || c.name AS class_name, rtrim(scope || c.parent, '.') AS parent, c.restriction, file, c.line_no
+        FROM (SELECT 'lib/P' || p_partkey || '.mo' AS file, p_partkey,
+                     'Lib.' || replace(p_brand, '#', '_') || '.' AS scope FROM part),
+        LATERAL (VALUES
+            ('P' || p_partkey, '', 'package', 2),
+            ('P' || p_partkey || '.Size', 'P' || p_partkey, 'type', 3),
+            ('P' || p_partkey || '.Outer', 'P' || p_partkey, 'model', 4),
+            ('P' || p_partkey || '.Outer.Inner', 'P' || p_partkey || '.Outer', 'model', 5),
+            ('P' || p_partkey || '.Last', 'P' || p_partkey, 'block', 12)) c(name, parent, restriction, line_no)""",
     "json_ingest": """
         SELECT event_id, event_type IN ('signup', 'purchase') AS accepted,
                CASE event_type WHEN 'signup' THEN 'Function' WHEN 'purchase' THEN 'Variable' END AS kind,

@@ -159,3 +159,27 @@ def test_comment_signs_in_strings_are_text(spark):
     found = {r.name: r.comment for r in corpus.extract_variables(lines).collect()}
     assert found == {"x": "see http://a.b/c", "y": None, "z": None, "w": None}
     assert [r.line for r in lines.orderBy("line_no").collect()][1].rstrip() == 'Real y "a /* b";'
+
+
+def test_classes_by_their_full_name(spark):
+    from loomlight.operators import lookup
+
+    first = "within Lib;\npackage A\n  model M\n    Real x;\n  end M;\n  model N = M;\n  function f\n  algorithm\n    if true then\n    end if;\n  end f;\nend A;\n"
+    second = "model M\n  Lib.A.M p;\n  Real y;\nend M;\nmodel Z\nend Z;\n"
+    lines = corpus.corpus_lines(spark.createDataFrame([("a.mo", first), ("b.mo", second)], "file string, text string"))
+    for ranges in (1, 5):
+        found = corpus.class_catalogue(lines, ranges)
+        assert sorted(rows(found, "class_name", "parent", "restriction", "file", "line_no"), key=str) == sorted([
+            ("Lib.A", "Lib", "package", "a.mo", 2), ("Lib.A.M", "Lib.A", "model", "a.mo", 3),
+            ("Lib.A.N", "Lib.A", "model", "a.mo", 6), ("Lib.A.f", "Lib.A", "function", "a.mo", 7),
+            ("M", None, "model", "b.mo", 1), ("Z", None, "model", "b.mo", 5),
+        ], key=str)
+    # a variable of a dotted type has the members of that class, and the class is found
+    variables = corpus.extract_variables(lines)
+    sources = lookup.source_table(found)
+    asked = spark.createDataFrame([("r", "b.mo", 9, "p.")], "req_id string, file string, line int, word string")
+    members = lookup.member_access(asked.withColumn("word", F.lit("p.x")), variables, sources)
+    assert "p.x" in {r.name for r in members.collect()}
+    place = spark.createDataFrame([("q", "b.mo", 9, "Lib.A.M")], "req_id string, file string, line int, word string")
+    declared = lookup.declaration_lookup(place, found, variables, sources).first()
+    assert (declared.declared_in, declared.declared_at) == ("a.mo", 3)

@@ -4,8 +4,7 @@ Texts are split into words in chunks of some million words. A chunk keeps, for e
 the places of its words in the chunk's own word list, frequent words first. The word
 lists, cut by a hash of the word, meet so that each distinct word of the corpus is encoded
 once; the ids go back to the chunks that asked, and are put in by position. A frequent
-word moves once for each chunk, however often it stands there. Lists of numbers move as
-deflated planes of their bytes.
+word moves once for each chunk, however often it stands there. Lists move deflated.
 
 The tokenizer file is read once on the driver and sent along; its size does not depend
 on the data. It must split by a pattern and encode each word alone.
@@ -29,7 +28,7 @@ from loomlight.llm.frames import field, pick, pieces
 from loomlight.session import stored
 
 #: Words of a chunk after which a new one begins.
-CHUNK_WORDS = 5_000_000
+CHUNK_WORDS = 3_000_000
 
 
 def load(path: str) -> dict:
@@ -86,14 +85,24 @@ class Places(dict):
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2 to the 32 as deflated planes of bytes; the high ones are mostly 0."""
-    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    """Whole numbers below 2 to the 32, small ones in few bytes of seven bits each, deflated."""
+    v = values.astype(np.uint32)
+    size = 1 + sum((v >> (7 * k) > 0).astype(np.int64) for k in range(1, 5)) if len(v) else np.zeros(0, np.int64)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = size > k
+        out[at[own] + k] = ((v[own] >> (7 * k)) & 127) | np.where(size[own] > k + 1, 128, 0)
+    return zlib.compress(out.tobytes(), 1)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+    b = np.frombuffer(zlib.decompress(raw), np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint32)
+    start = np.flatnonzero(np.append(True, b[:-1] < 128))
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    return np.add.reduceat((b & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start).astype(np.uint32)
 
 
 def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
@@ -119,7 +128,7 @@ def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns, pa.array([serial] * n, pa.int64()), pa.array(raw, pa.binary()),
-                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string())),
+                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                     ],
                     names=names,
                 )
@@ -130,12 +139,12 @@ def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
                 if not len(own):
                     continue
                 steps = packed(np.diff(own, prepend=np.uint32(0)))
-                listed = [words[j] for j in order[own]]
+                listed = zlib.compress("\n".join([words[j] for j in order[own].tolist()]).encode(), 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[pa.nulls(1, c.type) for c in kept[0].columns], pa.array([serial], pa.int64()),
                         pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([steps], pa.binary()),
-                        pa.array([listed], pa.list_(pa.string())),
+                        pa.array([listed], pa.binary()),
                     ],
                     names=names,
                 )
@@ -170,7 +179,7 @@ def _encode(shared):
                 part = batch.column(0)[i].as_py()
                 if part != now:
                     now, ids = part, {w: [at] for w, at in special.items()}
-                words = batch.column(3)[i].as_py()
+                words = zlib.decompress(batch.column(3)[i].as_py()).decode().split("\n")  # no word has a line break
                 fresh = [w for w in words if w not in ids]
                 for w, e in zip(fresh, coder.encode_batch(fresh, add_special_tokens=False)):
                     ids[w] = e.ids
@@ -228,7 +237,7 @@ def encoded(docs: DataFrame, path: str, carry: list[str]) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([
         *kept, field("chunk", "bigint"), field("words", "binary"), field("part", "int"), field("steps", "binary"),
-        field("list", "array<string>"),
+        field("list", "binary"),
     ])
     split = stored(docs.select(*carry, "text").mapInArrow(_chunks(shared, carry, schema, parts), schema), "words")
     texts = split.filter("words IS NOT NULL").select(*carry, "chunk", "words")

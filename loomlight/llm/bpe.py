@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlight.llm.frames import field, pick, pieces
+from loomlight.llm.packing import packed, unpacked
 from loomlight.session import stored
 
 #: Words of a chunk after which a new one begins.
 CHUNK_WORDS = 3_000_000
+#: Texts of a chunk whose ids and decoded text are made at once.
+SLICE = 256
 
 
 def load(path: str) -> dict:
@@ -84,27 +87,6 @@ class Places(dict):
         return place
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2 to the 32, small ones in few bytes of seven bits each, deflated."""
-    v = values.astype(np.uint32)
-    size = 1 + sum((v >> (7 * k) > 0).astype(np.int64) for k in range(1, 5)) if len(v) else np.zeros(0, np.int64)
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        own = size > k
-        out[at[own] + k] = ((v[own] >> (7 * k)) & 127) | np.where(size[own] > k + 1, 128, 0)
-    return zlib.compress(out.tobytes(), 1)
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(raw), np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint32)
-    start = np.flatnonzero(np.append(True, b[:-1] < 128))
-    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
-    return np.add.reduceat((b & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start).astype(np.uint32)
-
-
 def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
     """Rows of a chunk: its texts as places of words, then its word list cut into ``parts``."""
 
@@ -158,6 +140,7 @@ def _chunks(shared, carry: list[str], schema: T.StructType, parts: int):
                     places.append(np.array(list(map(known.__getitem__, words)), np.uint32))
                 if seen >= CHUNK_WORDS:
                     yield from chunk()
+                    pa.default_memory_pool().release_unused()
                     serial, known, kept, places, seen = serial + 1, Places(), [], [], 0
         if kept:
             yield from chunk()
@@ -210,17 +193,23 @@ def _placed(shared, carry: list[str], schema: T.StructType):
         begins = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
         shown = [" ".join(by_id[flat[b : b + n]]) for b, n in zip(begins.tolist(), sizes.tolist())]
-        ids, decoded, total = [], [], [0]
-        for raw in texts["words"].to_pylist():
-            at = unpacked(raw)
-            n = sizes[at]
-            total.append(total[-1] + int(n.sum()))
-            first = np.cumsum(n) - n
-            ids.append(flat[np.repeat(begins[at] - first, n) + np.arange(total[-1] - total[-2])])
-            decoded.append(" ".join([shown[i] for i in at.tolist()]))
-        listed = pa.LargeListArray.from_arrays(pa.array(total, pa.int64()), pa.array(np.concatenate(ids)))
-        new = [listed.cast(pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-        return pa.table([*[texts[c] for c in carry], *new], names=[f.name for f in schema])
+        out = []
+        for rows in texts.to_batches(max_chunksize=SLICE):
+            ids, decoded = [np.zeros(0, np.int32)], []
+            for raw in rows.column(rows.schema.get_field_index("words")).to_pylist():
+                at = unpacked(raw)
+                n = sizes[at]
+                place = np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                ids.append(flat[place])
+                decoded.append(" ".join([shown[i] for i in at.tolist()]))
+            ends = np.cumsum([len(x) for x in ids])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in carry]
+            new = [*kept, listed, pa.array(decoded, pa.string())]
+            out.append(pa.RecordBatch.from_arrays(new, names=[f.name for f in schema]))
+        done = pa.Table.from_batches(out)
+        pa.default_memory_pool().release_unused()
+        return done
 
     return run
 

@@ -190,17 +190,29 @@ def examined(docs: DataFrame, carry: list[str]) -> DataFrame:
     the text. Null and empty texts have neither; repeated rows get the same.
     """
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = stored(with_context(keyed, carry), "spans")
+    return with_terms(found.drop("context"), told_terms(found, keyed)).select(*carry, "spans", "terms")
+
+
+def with_context(keyed: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry``, key, spans and the context of the spans of each row."""
     text = F.coalesce("text", F.lit(""))
     with_spans = keyed.select(*carry, "key", text.alias("_text"), let(text, base_spans).alias("spans"))
     both = let(F.struct("_text", "spans"), lambda x: F.when(F.size(x["spans"]) > 0, context(x["_text"], x["spans"])))
-    found = stored(with_spans.select(*carry, "key", "spans", both.alias("context")), "spans")
+    return with_spans.select(*carry, "key", "spans", both.alias("context"))
+
+
+def told_terms(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, terms) of the rows that have disclosing terms."""
     told = stored(disclosing(found.select("key", "spans", "context"), keyed.select("text")), "disclosing")
     near = found.select("key", F.explode("context").alias("c")).select("key", "c.*")
     hits = near.join(told, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("share").alias("share"))
-    terms = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
+    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
+
+
+def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<s:int,e:int,share:double>>")
-    joined = found.drop("context").join(terms, "key", "left")
-    return joined.select(*carry, "spans", F.coalesce("terms", none).alias("terms"))
+    return rows.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def sanitised(text: Column, spans: Column, terms: Column) -> Column:
@@ -231,9 +243,15 @@ def sanitised(text: Column, spans: Column, terms: Column) -> Column:
 
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
-    """All documents, with personal data and the terms that disclose it replaced; n_chars follows the text."""
-    whole = packed(docs, doc_id="bigint", text="string")
-    found = examined(whole, [ROW, "text"])
+    """All documents, with personal data and the terms that disclose it replaced; n_chars follows the text.
+
+    Spans are found twice, once for the terms and once for the texts, so that no copy of
+    the texts is written in between.
+    """
+    whole = packed(docs, doc_id="bigint", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
+    terms = stored(told_terms(stored(with_context(whole, []), "spans"), whole), "terms")
+    spans = let(F.coalesce("text", F.lit("")), base_spans).alias("spans")
+    found = with_terms(whole.select(ROW, "text", "key", spans), terms)
     clean = found.withColumn("text", sanitised(F.col("text"), F.col("spans"), F.col("terms")))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:

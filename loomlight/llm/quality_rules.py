@@ -165,7 +165,11 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     the group with an empty name; repeated rows count as often as they stand there.
     """
     counted = stored(measured(docs, carry), "measures")
-    fences = stored(thresholds(counted), "thresholds")
+    return verdicts(counted, stored(thresholds(counted), "thresholds"), carry)
+
+
+def verdicts(counted: DataFrame, fences: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry``, the counts and verdicts of measured rows by the fences of their groups."""
     beyond = []
     for k, value in rates().items():
         out = value > F.col(f"hi_{k}")
@@ -181,9 +185,14 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, all columns as they were."""
+    """The documents that no rule rejects, all columns as they were.
+
+    Texts are measured twice, once for the thresholds and once for the verdicts, so that
+    only measures are written in between and no copy of the texts.
+    """
     whole = packed(docs, text="string", lang="string", source="string")
-    return unpacked(judged(whole, [ROW]).filter("kept"), docs.columns)
+    fences = stored(thresholds(stored(measured(whole, []), "measures")), "thresholds")
+    return unpacked(verdicts(measured(whole, [ROW]), fences, [ROW]).filter("kept"), docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def _repeated(batches):
         lead, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(lead):
             continue
-        key = lead >> 24
+        key = (lead >> 24) & ((1 << 40) - 1)  # the upper half of the anchors has the sign bit set
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
         several[[0, -1]] = True

@@ -103,6 +103,18 @@ def test_blocks_of_one_anchor_go_on(spark, monkeypatch):
     assert got == {d: x for (d, _), x in zip(rows, brute.repeats(rows))}
 
 
+def test_runs_of_short_period_are_repeats(spark):
+    """Their anchors are all one or a few; those with the highest bit set were lost."""
+    runs = [x * 60 for x in (" ", "=", "*", "#", "-", "ha")]
+    rows = [(1, "one head" + "".join(f"<{i} one {x} end one>" for i, x in enumerate(runs)))]
+    rows += [(2, "another" + "".join(f"[two {x} two {i}]" for i, x in enumerate(runs)))]
+    rows += [(3 + i, f"{i} only {x} here {i}") for i, x in enumerate(runs)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {d: x for (d, _), x in zip(rows, brute.repeats(rows))}
+    assert all(want[d][2] for d, _ in rows[1:])
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.report(docs).collect()} == want
+
+
 def test_repeat_edge_cases(spark):
     rows = [(r[0], r[1]) for r in tables.edge_rows()]
     want = sorted(((d, *x) for (d, _), x in zip(rows, brute.repeats(rows))), key=key)

@@ -34,8 +34,8 @@ HINTS = {"email": "@", "phone": "+"}
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words on each side of an entity, and the characters in which they are looked for.
 WORDS, REACH = 5, 120
-#: Least documents with term and entity together, and least share of the entity disclosed.
-LEAST_JOINT, DISCLOSURE = 3, 0.75
+#: Least share of the entity disclosed. It alone decides, as most entities stand in one or two documents.
+DISCLOSURE = 0.75
 #: Matches that one list holds while places are worked out, so that long lists are not copied for each.
 CHUNK = 256
 
@@ -165,9 +165,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     text. Rows of one key count once.
     """
     pairs = found.select("key", F.explode("context").alias("c")).select("key", "c.entity", "c.term").distinct()
-    joint = stored(
-        pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_JOINT), "joint"
-    )
+    joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "joint")
     entity = F.explode(F.array_distinct(F.transform("spans", _entity)))
     of_entity = found.select("key", entity.alias("entity")).distinct()
     of_entity = of_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))

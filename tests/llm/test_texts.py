@@ -230,6 +230,24 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0].n_chars == len(clean[0].text) and clean[12].text == dict(rows)[12]
 
 
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    """On the given table, terms are found, all of them rare; words of many documents stay."""
+    docs = read(spark, "documents", MIDDLE)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    holding = {}
+    for text in texts.values():
+        for word in set(brute.alnum_words(text)):
+            holding[word] = holding.get(word, 0) + 1
+    n_terms = 0
+    for r in pii.report(docs).collect():
+        for x in r.spans.split(","):
+            if x.startswith("term:"):
+                _, s, e = x.split(":")
+                n_terms += 1
+                assert holding[texts[r.doc_id][int(s) : int(e)].lower()] <= len(texts) ** 0.5
+    assert n_terms > 0
+
+
 def test_personal_data_has_no_python(spark):
     plan = pii.report(read(spark, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 First each block is judged on its own: by the element it is in, by its share of link
-text, its share of stop words and its length. Blocks that are too short to tell stay
-open. Then each open block takes the label of the nearest decided blocks: that of both
+text, its share of stop words and its length. An article element speaks for a block, but
+does not decide alone. Blocks that are too short to tell, and those of few links in a
+language without known stop words, stay open. Then each open block takes the label of the nearest decided blocks: that of both
 neighbours if they agree, else that of the nearer one, the main text on a tie.
 
 A page is one row, and pages are independent, so the work is one pass without a shuffle.
@@ -46,6 +47,10 @@ LINKED = 0.5
 SHORT = 70
 LONG = 200
 LOW, HIGH = 0.12, 0.25
+#: Share of link text up to which a block of unknown language stays open.
+FEW_LINKS = 0.2
+#: What an article element adds to the share of stop words, for blocks of few links and for others.
+BONUS, LINKED_BONUS = HIGH, HIGH - LOW
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -126,26 +131,27 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def judge(found: list[tuple[str, int, bool, bool]]) -> list[bool | None]:
     """First pass: True for main text, False for what is not, None where the block alone does not say."""
-    marked = any(main and not side for _, _, side, main in found)
     out: list[bool | None] = []
     for text, linked, side, main in found:
         size = len(text)
         words = text.lower().split()
         common = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if side:
-            out.append(False)
-        elif marked:
-            out.append(main)
-        elif linked > LINKED * size:
+        if main:
+            common += BONUS if linked <= FEW_LINKS * size else LINKED_BONUS
+        if side or linked > LINKED * size:
             out.append(False)
         elif size < SHORT:
-            out.append(None if not linked else False)
+            out.append(None if main and linked else True if main else False if linked else None)
         elif common >= HIGH or (common >= LOW and size >= LONG):
             out.append(True)
-        elif common >= LOW:
+        elif common >= LOW or linked <= FEW_LINKS * size:
             out.append(None)
         else:
             out.append(False)
+    if True not in out:  # a page in a language without stop words: its long blocks of few links
+        for i, (text, linked, _, _) in enumerate(found):
+            if out[i] is None and len(text) >= SHORT and linked <= FEW_LINKS * len(text):
+                out[i] = True
     return out
 
 

@@ -179,6 +179,25 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+FINNISH = "Vanha kalastaja kertoi meille pitkän tarinan merestä, tuulesta ja kaukaisista saarista, joilla kukaan ei enää asu."
+LINKS = "".join(f"<li><a href=x{i}>another headline</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (f"<div><p>{PROSE}</p></div><article><a href=x>Teaser of it</a></article>", [PROSE], ["Teaser"]),
+        (f"<div><p>{PROSE}</p></div><article><p>Teaser of it</p></article>", [PROSE], []),
+        (f"<article><p>{PROSE}</p><ul>{LINKS}</ul></article>", [PROSE], ["headline"]),
+        (f"<div><p>{PROSE}</p><p>{FINNISH}</p><p>{PROSE}</p></div>", [PROSE, FINNISH], []),
+        (f"<nav>{LINKS}</nav><div><p>{FINNISH}</p></div><footer>end</footer>", [FINNISH], ["headline", "end"]),
+    ],
+)
+def test_an_article_element_is_one_sign_of_several(page, kept, gone):
+    text = html_text.main_text(page)
+    assert all(x in text for x in kept) and not any(x in text for x in gone)
+
+
 def test_page_edge_cases(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<article>" + "<p>word</p>" * 20_000 + "</article>", "y")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")

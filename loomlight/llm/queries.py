@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlight.llm import (
-    bpe, decontaminate, html_text, licenses, lm_scores, ngram_join, pii, quality_crf, quality_rules, suffixes,
+    bpe, decontaminate, html_text, licenses, lm_scores, ngram_join, pii, prefix_trie, quality_crf, quality_rules,
+    suffixes, token_counts, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,13 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The word-piece vocabulary: $WORD_BPE_PATH, else the public one that is installed."""
-    if "WORD_BPE_PATH" in os.environ:
-        return os.environ["WORD_BPE_PATH"]
+def _vocabulary(variable: str, name: str) -> str:
+    """The file that the environment names, else the public one that is installed."""
+    if variable in os.environ:
+        return os.environ[variable]
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer_path() -> str:
+    """The word-piece vocabulary: $WORD_BPE_PATH, else the public one."""
+    return _vocabulary("WORD_BPE_PATH", "word_bpe_49k.json")
+
+
+def byte_tokenizer_path() -> str:
+    """The byte-level vocabulary: $BYTE_BPE_PATH, else the public one."""
+    return _vocabulary("BYTE_BPE_PATH", "byte_bpe_50k.json")
 
 
 def op1_decontamination(spark, sf_dir):
@@ -67,11 +78,24 @@ def op10_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark, sf_dir):
+    return token_counts.report(table(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality_rules, op3_lm_scores, op4_bpe, op5_license_scan, op6_suffix_dedup,
         op7_quality_classifier, op8_html_extraction, op9_ngram_jaccard_join, op10_pii,
+        op11_whitening, op12_prefix_trie, op13_token_counts,
     )
 }
 

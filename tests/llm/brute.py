@@ -149,3 +149,42 @@ def license_places(text, phrases):
         labels |= {label} if found else set()
     first, last = (min(places), max(places)) if places else (None, None)
     return len(w), len(places), first, last, ",".join(sorted(labels))
+
+
+def rebuilt(rows):
+    """For rows (conv_id, turn, role, text): the rebuilt conversations by id."""
+    import zlib
+
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v, key=lambda x: x[:2])] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        donor = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        out[c] = own.get(donor, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_nodes(rows):
+    """The nodes of the prefix tree of the rebuilt conversations."""
+    members = collections.defaultdict(list)
+    full = rebuilt(rows)
+    for c, turns in full.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += children[p] == 0
+            saved[p[:d]] += (len(m) - 1) * (len(p[-1][1]) if p else 0)
+    return [
+        (
+            min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+            sha(",".join(map(str, sorted(c for c in m if len(full[c]) == len(p))))),
+        )
+        for p, m in members.items()
+    ]

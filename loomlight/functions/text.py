@@ -27,10 +27,25 @@ IDENTIFIER = r"(\w[\w\-]*)"
 CLASS_PREFIXES = r"(?:(?:encapsulated|partial|final|expandable|operator|pure|impure)\s+)*"
 CLASS_WORDS = r"(model|class|package|function|record|block|connector|type)"
 CLASS_OPENING = r"\A\s*" + CLASS_PREFIXES + CLASS_WORDS + r"\s+([A-Za-z_]\w*)"
-CLASS_CLOSING = r"\A\s*end\s+(?!(?:if|for|when|while)\s*;)([A-Za-z_]\w*)\s*;"
-CLASS_SHORT = r"\A\s*" + CLASS_PREFIXES + CLASS_WORDS + r"\s+[A-Za-z_]\w*\s*="
-WITHIN = r"\A\s*within\s+([A-Za-z_][\w.]*)\s*;"
 FUNCTION_INPUT = r"\binput\s+(\w+)\s+(\w+)"
+# Words that open a class, and names, between texts that are no code. \x01 and \x02 stand for
+# a word and a name on an earlier line.
+LEAD = r"(?<![\w.'])"
+OPENING_WORD = r"(?:model|class|package|function|record|block|connector|type|operator|\x01)"
+OPENING_PREFIX = r"(?:replaceable|encapsulated|partial|final|inner|outer|expandable|operator|pure|impure)"
+NAME = rf"(?:(?!(?:{OPENING_WORD}|extends)\b)[A-Za-z_]\w*|'(?:[^'\\]|\\.)*+'|\x02)"
+IMPORT = LEAD + r"import\s+(?:([A-Za-z_]\w*)\s*=\s*)?([A-Za-z_][\w.]*\w|[A-Za-z_])\s*(\.\s*\*|\.\s*\{[^}]*\})?"
+EVENT = (
+    rf"{LEAD}redeclare\s+(?:{OPENING_PREFIX}\s+)*{OPENING_WORD}\s+{NAME}\s*="
+    rf"|{LEAD}{OPENING_WORD}\s+(?:extends\s+)?{NAME}(?:\s*=(?!=))?"
+    rf"|{LEAD}end\s+(?!(?:if|for|when|while)\b){NAME}"
+    rf"|{LEAD}within\s+[A-Za-z_][\w.]*"
+)
+# Strings and comments, also ones that the line does not end; quoted names are code.
+NO_CODE = (
+    r"""(?s)('(?:[^'\\]|\\.)*+')|(")(?:[^"\\]|\\.)*+"|/\*.*?\*/|//.*"""
+    r"""|(")(?:[^"\\]|\\.?)*+\z|(/\*).*\z"""
+)
 # A string is one token, so comment signs inside it are text.
 COMMENT_TOKENS = r'(?s)"(?:[^"\\]|\\.)*+"|/\*.*?\*/|//[^\n]*|[^/"]+|[/"]'
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
-from loomlight.operators.ordering import KEY, RANGE, before, range_split, with_carry, within
-from loomlight.session import cut, stored
+from loomlight.operators import structure
+from loomlight.operators.scans import SIZE
 
 
 def corpus_lines(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -44,8 +44,8 @@ def _type_and_name(declared: Column) -> Column:
     )
 
 
-def extract_variables(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Lines to declared variables: (file, line_no, type, name, comment).
+def extract_variables(lines: DataFrame, strict: bool = False, *more: str) -> DataFrame:
+    """Lines to declared variables: (file, line_no, type, name, comment) and the columns ``more``.
 
     Only the shape of a line counts, so ``end X`` is read as a declaration too;
     ``strict`` leaves out rows whose type or name is a keyword. The match is a
@@ -54,12 +54,13 @@ def extract_variables(lines: DataFrame, strict: bool = False) -> DataFrame:
     declared = F.transform(
         F.regexp_extract_all("line", F.lit(T.DECLARATION), F.lit(1)), _type_and_name
     )
-    variables = lines.select("file", "line_no", "line", F.inline(declared)).select(
+    variables = lines.select("file", "line_no", "line", *more, F.inline(declared)).select(
         "file",
         "line_no",
         "type",
         "name",
         T.matched(F.col("line"), T.DECLARATION_COMMENT, 1).alias("comment"),
+        *more,
     )
     if strict:
         is_word = F.col("type").isin(T.KEYWORDS) | F.col("name").isin(T.KEYWORDS)
@@ -79,70 +80,30 @@ def extract_classes(lines: DataFrame) -> DataFrame:
     return lines.select("file", "line_no", F.inline(opened))
 
 
-def class_catalogue(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+def class_catalogue(lines: DataFrame, size: int = SIZE) -> DataFrame:
     """Classes by their full name: (class_name, parent, restriction, file, line_no).
 
     The full name is the ``within`` clause of the file, the names of the classes that are
-    open at the line, and the own name. A short definition (``type X = ...``) opens
-    nothing. Files are scanned by ranges of their lines, so a large one is no single task;
-    names grow by joining each class with the one it lies in, twice as far in each round.
+    open, and the own name. A short definition (``type X = ...``) opens nothing; strings and
+    comments, also over many lines, hold no class; a line may open and end several.
     """
-    opened = extract_classes(lines.filter(~F.col("line").rlike(T.CLASS_SHORT)))
-    short = extract_classes(lines.filter(F.col("line").rlike(T.CLASS_SHORT)))
-    closed = lines.filter(F.col("line").rlike(T.CLASS_CLOSING)).select("file", "line_no")
-    events = (
-        opened.withColumn("step", F.lit(1))
-        .unionByName(short.withColumn("step", F.lit(0)))
-        .unionByName(closed.withColumn("step", F.lit(-1)), allowMissingColumns=True)
-    )
-    split = range_split(events, ["file"], ["line_no", "step"], ranges)
-    sums = split.groupBy(KEY, RANGE).agg(F.sum("step").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_base")
-    local = split.withColumn("_sum", F.sum("step").over(within(["line_no", "step"])))
-    placed = with_carry(local, sums.select(KEY, RANGE, base)).filter("class_name IS NOT NULL")
-    depth = (F.col("_base") + F.col("_sum") - F.col("step")).cast("int").alias("depth")
-    classes = cut(placed.select("file", "line_no", "restriction", "class_name", "step", depth))
-    # the class around is the last one that was opened one level up
-    around = classes.filter("step = 1").select("file", "line_no", F.col("depth").alias("level"), F.col("line_no").alias("outer"))
-    asking = classes.select("file", "line_no", (F.col("depth") - 1).alias("level"), F.lit(None).cast("int").alias("outer"))
-    both = range_split(around.unionByName(asking), ["file", "level"], ["line_no"], ranges)
-    last = both.groupBy(KEY, RANGE).agg(F.max("outer").alias("_last"))
-    carried = last.select(KEY, RANGE, F.max("_last").over(before()).alias("_carried"))
-    seen = with_carry(both.withColumn("_seen", F.max("outer").over(within(["line_no"], -1))), carried)
-    outer = seen.filter("outer IS NULL AND level >= 0").select("file", "line_no", F.coalesce("_seen", "_carried").alias("up"))
-    scope = lines.filter(F.col("line").rlike(T.WITHIN)).groupBy("file").agg(
-        F.min(F.struct("line_no", F.regexp_extract("line", T.WITHIN, 1).alias("scope")))["scope"].alias("scope")
-    )
-    named = stored(
-        classes.join(outer, ["file", "line_no"], "left").withColumn("full", F.col("class_name")).drop("depth", "step"), "classes"
-    )
-    while not named.filter("up IS NOT NULL").isEmpty():
-        above = named.select("file", F.col("line_no").alias("up"), F.col("full").alias("_lead"), F.col("up").alias("_next"))
-        named = stored(
-            named.join(above, ["file", "up"], "left").select(
-                "file", "line_no", "restriction", "class_name", F.col("_next").alias("up"),
-                F.concat_ws(".", "_lead", "full").alias("full"),
-            ),
-            "classes",
-        )
-    full = F.concat_ws(".", "scope", "full")
-    return named.join(scope, "file", "left").select(
-        full.alias("class_name"),
-        F.when(F.contains(full, F.lit(".")), T.head_before(full, ".")).alias("parent"),
-        "restriction", "file", "line_no",
-    )
+    return structure.classes(structure.nested(lines, size))
+
+
+def scoped_variables(nested: DataFrame, strict: bool = False) -> DataFrame:
+    """As :func:`extract_variables`, with the ``scope`` around each; lines that begin in a string or comment are none."""
+    code = nested.filter(F.startswith("state", F.lit("C")))
+    return extract_variables(code, strict, "scope")
 
 
 def first_declaration(variables: DataFrame) -> DataFrame:
-    """The topmost declaration of each name in each file.
+    """The topmost declaration of each name in each file, with the ``class_name`` of its type where that is known.
 
     ``min`` combines on the map side, so a name declared very often moves one row per task.
     """
-    return (
-        variables.groupBy("file", "name")
-        .agg(F.min(F.struct("line_no", "type", "comment")).alias("first"))
-        .select("file", "name", "first.line_no", "first.type", "first.comment")
-    )
+    kept = [c for c in ("line_no", "type", "comment", "class_name") if c in variables.columns]
+    first = variables.groupBy("file", "name").agg(F.min(F.struct(*kept)).alias("first"))
+    return first.select("file", "name", *[f"first.{c}" for c in kept])
 
 
 def extract_parameters(

@@ -31,14 +31,16 @@ def type_lookup(requests: DataFrame, variables: DataFrame) -> DataFrame:
     """Type and comment of the word's first identifier, declared at or above the line.
 
     The topmost declaration counts, not the nearest one. So it is enough to know
-    one row per name and file: if that one is below the line, all others are.
+    one row per name and file: if that one is below the line, all others are. Variables
+    that know the ``class_name`` of their type hand it on.
     """
     identifiers = F.regexp_extract_all("word", F.lit(T.IDENTIFIER), F.lit(1))
     named = requests.select("*", F.explode(F.slice(identifiers, 1, 1)).alias("name"))
     found = asked_declarations(named, variables)
     typed = lookup_join(named, found, ["file", "name"])
+    more = [c for c in ("class_name",) if c in variables.columns]
     return typed.filter(F.col("line").isNull() | (F.col("line_no") <= F.col("line"))).select(
-        *requests.columns, "name", "type", "comment"
+        *requests.columns, "name", "type", "comment", *more
     )
 
 
@@ -83,14 +85,13 @@ def declaration_lookup(
     """Where a word is declared: as a class, else as a variable of the request's own file.
 
     ``sources`` maps full class names to files. Variables are looked up first, as the
-    requests are then still a plain table; the classes follow by a left join, whose
-    hot words adaptive execution splits.
+    requests are then still a plain table.
     """
     named = requests.withColumn("name", F.col("word"))
     found = asked_declarations(named, variables).select("file", "name", "line_no")
     local = lookup_join(named, found, ["file", "name"], "left")
     declared = declared_classes(classes, sources).withColumnRenamed("class_name", "name")
-    both = local.join(declared, "name", "left")
+    both = lookup_join(local, declared, ["name"], "left", ["req_id"])
     as_class = F.col("class_line").isNotNull()
     return both.select(
         *requests.columns,
@@ -104,16 +105,16 @@ def declaration_lookup(
 def object_sources(requests: DataFrame, variables: DataFrame, sources: DataFrame) -> DataFrame:
     """For words with a member: the object before the last dot and the file its type comes from.
 
-    Nothing for a word without a member and for objects of a primitive type.
+    Nothing for a word without a member and for objects of a primitive type. The type is a
+    full class name, unless the variables have the ``class_name`` found by their scope.
     """
     word = F.col("word")
     objects = requests.filter(T.tail_after(word, ".") != "").select(
         "req_id", F.col("word").alias("asked"), "file", "line", T.head_before(word, ".").alias("word")
     )
     typed = type_lookup(objects, variables).filter(~F.col("type").isin(T.PRIMITIVE_TYPES))
-    owners = typed.select(
-        "req_id", "asked", F.col("word").alias("object"), F.col("type").alias("class_name")
-    )
+    full = "class_name" if "class_name" in variables.columns else "type"
+    owners = typed.select("req_id", "asked", F.col("word").alias("object"), F.col(full).alias("class_name"))
     return owners.join(project_sources(sources), "class_name").select(
         "req_id", F.col("asked").alias("word"), "object", F.col("source_file").alias("file")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
-from loomlight.operators import corpus, diagnostics, docs, lookup, names, records, registry, runs, trees
+from loomlight.operators import corpus, diagnostics, docs, lookup, names, records, registry, runs, scopes, structure, trees
 from loomlight.plans import inputs
 from loomlight.session import cut, scratch_path, stored
 from loomlight.sources import files
@@ -74,6 +74,10 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.extract_classes(part_lines(spark, sf_dir))
 
 
+def package_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.nested(corpus.corpus_lines(inputs.package_files(spark, sf_dir)))
+
+
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = inputs.name_requests(spark, sf_dir).select(
         "req_id", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), "word"
@@ -233,23 +237,23 @@ def class_source_lookup(spark, sf_dir):
 
 @query
 def declaration_lookup(spark, sf_dir):
+    """Classes by their plain and their full name, and variables of the order's own file."""
     status = F.col("o_orderstatus")
     word = (
         F.when(status == "F", F.concat(F.lit("P"), "o_custkey"))
         .when(status == "O", F.concat(F.lit("item"), F.col("o_custkey") % 7 + 1))
-        .otherwise(F.concat(F.lit("lib.P"), "o_orderkey"))
+        .otherwise(F.concat(F.lit("Lib.Basic"), F.col("o_orderkey") % 7, F.lit(".Point")))
     )
     orders = inputs.table(spark, sf_dir, "orders")
     requests = orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("req_id"),
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".mo")).alias("file"),
         word.alias("word"),
-    )
-    classes = part_classes(spark, sf_dir)
-    plain = lookup.source_table(classes)
-    qualified = plain.withColumn("class_name", F.concat(F.lit("lib."), "class_name"))
+    ).unionByName(inputs.class_requests(spark, sf_dir))
+    catalogue = structure.classes(package_structure(spark, sf_dir))
+    classes = part_classes(spark, sf_dir).unionByName(catalogue, allowMissingColumns=True)
     return lookup.declaration_lookup(
-        requests, classes, order_variables(spark, sf_dir), plain.unionByName(qualified)
+        requests, classes, order_variables(spark, sf_dir), lookup.source_table(classes)
     ).select("req_id", "word", "declared_in", "declared_at")
 
 
@@ -261,11 +265,20 @@ def namespace_children(spark, sf_dir):
 
 @query
 def member_access(spark, sf_dir):
-    return lookup.member_access(
+    """Members of items in orders, and of objects in packages, whose types are found by scope."""
+    items = lookup.member_access(
         inputs.order_requests(spark, sf_dir),
         stored(order_and_part_variables(spark, sf_dir), "variables"),
         lookup.source_table(part_classes(spark, sf_dir)),
     )
+    packages = package_structure(spark, sf_dir)
+    catalogue = structure.classes(packages)
+    variables = corpus.scoped_variables(packages, strict=True)
+    typed = scopes.scoped_types(variables, catalogue, structure.imports(packages))
+    objects = lookup.member_access(
+        inputs.package_requests(spark, sf_dir), stored(typed, "variables"), lookup.source_table(catalogue)
+    )
+    return items.unionByName(objects)
 
 
 @query

@@ -121,15 +121,61 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def brand() -> Column:
+    return F.replace("p_brand", F.lit("#"), F.lit("_"))
+
+
 def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per part, inside its brand: a package with an alias and two nested models."""
+    """One source file per part, a package inside its brand, and one per region that the packages import.
+
+    Texts and comments with what looks like classes, several classes on one line, and a short
+    definition over several lines.
+    """
     key = F.col("p_partkey").cast("string")
-    text = F.concat(
-        F.lit("within Lib."), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(";\npackage P"), key,
-        F.lit("\n  type Size = Real;\n  model Outer\n    model Inner\n      Real a;\n    equation\n      when a > 0 then\n"),
-        F.lit("      end when;\n    end Inner;\n  end Outer;\n  partial block Last\n  end Last;\nend P"), key, F.lit(";\n"),
-    )
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("lib/P"), key, F.lit(".mo")).alias("file"), text.alias("text"))
+    near = [((F.col("p_partkey") + i) % 5).cast("string") for i in (0, 1)]
+    values = {"k": key, "brand": brand(), "a": near[0], "b": near[1]}
+    text = _written(
+        'within Lib.{brand};\npackage P{k} "Parts,\nmodel of a motor \\"P{k}\\"\nend P{k};\n"\n'
+        "  import Lib.Basic{a}.Point; import Lib.Basic{b}.*;\n"
+        "  type Size = Real; record Pair Real x; Real y; end Pair;\n"
+        "  model Outer /* model Hidden\n  end Outer; */\n"
+        "    model Inner\n      Real a;\n    equation\n      when a > 0 then\n      end when;\n    end Inner;\n"
+        '    Inner part "own";\n    Pair both;\n    Point where "at";\n    Only{b} one;\n    P{k}.Outer.Inner far;\n'
+        "  end Outer; partial block Last\n  end Last;\n  type\n    Late\n    = Size;\nend P{k};\n",
+        values,
+    )
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("lib/P"), key, F.lit(".mo")).alias("file"), text.alias("text")
+    )
+    basic = _written(
+        "within Lib;\npackage Basic{r}\n  record Point Real px; end Point;\n  record Only{r}\n    Real only;\n"
+        "  end Only{r};\nend Basic{r};\n",
+        {"r": F.col("r_regionkey").cast("string")},
+    )
+    regions = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("lib/Basic"), "r_regionkey", F.lit(".mo")).alias("file"), basic.alias("text")
+    )
+    return parts.unionByName(regions)
+
+
+def package_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per part for a member of an object in its package."""
+    words = F.array(*[F.lit(f"{name}.s") for name in ("part", "both", "where", "one", "far")])
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("req_id"),
+        F.concat(F.lit("lib/P"), "p_partkey", F.lit(".mo")).alias("file"),
+        F.lit(None).cast("int").alias("line"),
+        F.get(words, (F.floor(F.col("p_partkey") / 3) % 5).cast("int")).alias("word"),
+    )
+
+
+def class_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per part for a class in its package, or one that is not there."""
+    ends = F.array(*[F.lit(name) for name in ("", ".Late", ".Outer.Inner", ".Hidden", ".Last")])
+    word = F.concat(F.lit("Lib."), brand(), F.lit(".P"), "p_partkey", F.get(ends, (F.col("p_partkey") % 5).cast("int")))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("req_id"), F.lit("elsewhere.mo").alias("file"), word.alias("word")
+    )
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -485,10 +485,18 @@ ORACLES: dict[str, str] = {
                      'Lib.' || replace(p_brand, '#', '_') || '.' AS scope FROM part),
         LATERAL (VALUES
             ('P' || p_partkey, '', 'package', 2),
-            ('P' || p_partkey || '.Size', 'P' || p_partkey, 'type', 3),
-            ('P' || p_partkey || '.Outer', 'P' || p_partkey, 'model', 4),
-            ('P' || p_partkey || '.Outer.Inner', 'P' || p_partkey || '.Outer', 'model', 5),
-            ('P' || p_partkey || '.Last', 'P' || p_partkey, 'block', 12)) c(name, parent, restriction, line_no)""",
+            ('P' || p_partkey || '.Size', 'P' || p_partkey, 'type', 7),
+            ('P' || p_partkey || '.Pair', 'P' || p_partkey, 'record', 7),
+            ('P' || p_partkey || '.Outer', 'P' || p_partkey, 'model', 8),
+            ('P' || p_partkey || '.Outer.Inner', 'P' || p_partkey || '.Outer', 'model', 10),
+            ('P' || p_partkey || '.Last', 'P' || p_partkey, 'block', 21),
+            ('P' || p_partkey || '.Late', 'P' || p_partkey, 'type', 24)) c(name, parent, restriction, line_no)
+        UNION ALL
+        SELECT 'Lib.Basic' || r_regionkey || c.name, CASE WHEN c.name = '' THEN 'Lib' ELSE 'Lib.Basic' || r_regionkey END,
+               c.restriction, 'lib/Basic' || r_regionkey || '.mo', c.line_no
+        FROM region,
+        LATERAL (VALUES ('', 'package', 2), ('.Point', 'record', 3),
+                        ('.Only' || r_regionkey, 'record', 4)) c(name, restriction, line_no)""",
     "json_ingest": """
         SELECT event_id, event_type IN ('signup', 'purchase') AS accepted,
                CASE event_type WHEN 'signup' THEN 'Function' WHEN 'purchase' THEN 'Variable' END AS kind,
@@ -562,14 +570,22 @@ ORACLES: dict[str, str] = {
         FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""",
     "declaration_lookup": with_fragments(
         """SELECT 'o' || o_orderkey AS req_id, word,
-                  CASE WHEN p_partkey IS NOT NULL THEN 'part_' || p_partkey || '.mo' ELSE d.file END AS declared_in,
-                  CASE WHEN p_partkey IS NOT NULL THEN 2 ELSE d.line_no END AS declared_at
+                  CASE WHEN p_partkey IS NOT NULL THEN 'part_' || p_partkey || '.mo'
+                       WHEN r_regionkey IS NOT NULL THEN 'lib/Basic' || r_regionkey || '.mo' ELSE d.file END AS declared_in,
+                  CASE WHEN p_partkey IS NOT NULL THEN 2 WHEN r_regionkey IS NOT NULL THEN 3
+                       ELSE d.line_no END AS declared_at
            FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'P' || o_custkey
-                        WHEN 'O' THEN 'item' || (o_custkey % 7 + 1) ELSE 'lib.P' || o_orderkey END AS word,
-                        CASE o_orderstatus WHEN 'F' THEN o_custkey WHEN 'P' THEN o_orderkey END AS wanted
+                        WHEN 'O' THEN 'item' || (o_custkey % 7 + 1) ELSE 'Lib.Basic' || (o_orderkey % 7) || '.Point' END AS word,
+                        CASE o_orderstatus WHEN 'F' THEN o_custkey END AS wanted,
+                        CASE o_orderstatus WHEN 'P' THEN o_orderkey % 7 END AS basic
                  FROM orders) r
-           LEFT JOIN part ON p_partkey = wanted
-           LEFT JOIN order_first d ON d.file = 'order_' || o_orderkey || '.mo' AND d.name = word""",
+           LEFT JOIN part ON p_partkey = wanted LEFT JOIN region ON r_regionkey = basic
+           LEFT JOIN order_first d ON d.file = 'order_' || o_orderkey || '.mo' AND d.name = word
+           UNION ALL
+           SELECT 'p' || p_partkey, 'Lib.' || replace(p_brand, '#', '_') || '.P' || p_partkey || ending,
+                  CASE WHEN line_no > 0 THEN 'lib/P' || p_partkey || '.mo' END, nullif(line_no, 0)
+           FROM part JOIN (VALUES (0, '', 2), (1, '.Late', 24), (2, '.Outer.Inner', 10), (3, '.Hidden', 0),
+                                  (4, '.Last', 21)) e(kind, ending, line_no) ON kind = p_partkey % 5""",
         "order_first",
     ),
     "namespace_children": with_fragments(
@@ -579,7 +595,19 @@ ORACLES: dict[str, str] = {
         "classes",
     ),
     "member_access": with_fragments(
-        MEMBERS.format("order_requests"), "order_requests", "order_first", "part_variables"
+        MEMBERS.format("order_requests")
+        + """
+        UNION ALL
+        SELECT 'p' || p_partkey, object || '.s', object || '.' || v.name, v.type, v.comment
+        FROM (SELECT p_partkey, ['part', 'both', 'where', 'one', 'far'][p_partkey // 3 % 5 + 1] AS object FROM part),
+        LATERAL (VALUES
+            (false, 'a', 'Real', NULL), (false, 'part', 'Inner', 'own'), (false, 'both', 'Pair', NULL),
+            (false, 'where', 'Point', 'at'), (false, 'one', 'Only' || ((p_partkey + 1) % 5), NULL),
+            (false, 'far', 'P' || p_partkey || '.Outer.Inner', NULL),
+            (true, 'only', 'Real', NULL)) v(elsewhere, name, type, comment)
+        WHERE elsewhere = (object IN ('where', 'one'))
+        """,
+        "order_requests", "order_first", "part_variables",
     ),
     "files_outside_packages": with_fragments("SELECT path FROM outside", "outside"),
     "gated_diagnostics": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -542,20 +543,26 @@ def validate_projects(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------
 
 
+#: How much later than others an event may come.
+DELAY = timedelta(hours=6)
+
+
 @query
 def file_index_stream(spark, sf_dir):
     changes = inputs.file_changes(inputs.event_stream(spark, sf_dir))
-    table = scratch_path(spark, "file-index")
-    live_files = live.file_index_stream(changes)
-    changelog.keep_changes(live_files, table, scratch_path(spark, "offsets")).awaitTermination()
-    return changelog.newest(spark, table, ["path"]).filter("op = 'create'").select("path", "ts")
+    index = live.FileIndex(scratch_path(spark, "file-index"), DELAY)
+    index.start(changes, scratch_path(spark, "offsets")).awaitTermination()
+    index.finish(spark)
+    return index.files(spark)
 
 
 @query
 def registry_stream(spark, sf_dir):
     calls = inputs.registry_events(inputs.event_stream(spark, sf_dir))
     table = scratch_path(spark, "registry")
-    live.registry_stream(calls, table, scratch_path(spark, "offsets")).awaitTermination()
+    clients = live.Registry(table, DELAY)
+    clients.start(calls, scratch_path(spark, "offsets")).awaitTermination()
+    clients.finish(spark)
     counted = spark.read.parquet(f"{table}/calls")
     ids = spark.read.parquet(f"{table}/projects").select("event_id", "project_id")
     return counted.join(ids, "event_id", "left").select(
@@ -576,5 +583,7 @@ def recent_stream(spark, sf_dir):
 def run_status_stream(spark, sf_dir):
     events = inputs.status_events(inputs.event_stream(spark, sf_dir))
     table = scratch_path(spark, "run-status")
-    live.run_status_stream(events, table, scratch_path(spark, "offsets")).awaitTermination()
+    status = live.RunStatus(table, DELAY)
+    status.start(events, scratch_path(spark, "offsets")).awaitTermination()
+    status.finish(spark)
     return spark.read.parquet(f"{table}/polls").select("run_id", "event_id", "status")

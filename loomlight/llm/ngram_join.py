@@ -208,11 +208,23 @@ def close(a: str, b: str, n_a: Column, n_b: Column, t: int) -> Column:
     return F.coalesce(differing(a, b) * (100 + t) <= (n_a + n_b) * (100 - t), F.lit(True))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, t: int) -> DataFrame:
-    """The pairs (a, b) of nodes, with the rows of a text of each, whose sets reach the similarity."""
-    left = texts.select(F.col("row").alias("row_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("row").alias("row_b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "row_a").join(right, "row_b").select("a", "b", "text_a", "text_b")
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, text) of the documents among ``rows``, and of few others, each row once."""
+    return maybe_in(docs, "row", rows).dropDuplicates(["row"])
+
+
+def _links(pairs: DataFrame, docs: DataFrame, size: int, t: int) -> DataFrame:
+    """The pairs (a, b) of nodes, with the rows of a text of each, whose sets reach the similarity.
+
+    Many pairs share their ``a``, as members of a family meet its lead, so the texts of that
+    side are few; they are stored, and Spark can split the join on a lead with very many pairs.
+    The text of a ``b`` moves to its pairs, and with them to the ``a``.
+    """
+    right = _texts(docs, pairs.select(F.col("row_b").alias("row")))
+    left = stored(_texts(docs, pairs.select(F.col("row_a").alias("row"))), "texts")
+    right = right.select(F.col("row").alias("row_b"), F.col("text").alias("text_b"))
+    left = left.select(F.col("row").alias("row_a"), F.col("text").alias("text_a"))
+    both = pairs.join(right, "row_b").join(left, "row_a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
@@ -230,12 +242,6 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, t: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, text) of the rows that the pairs name."""
-    named = pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct()
-    return stored(maybe_in(docs, "row", named).join(named, "row").dropDuplicates(["row"]), "texts")
-
-
 def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: int = 85) -> DataFrame:
     """For each row of ``docs`` (doc_id, text and ``carry``): n_shingles, component_id.
 
@@ -297,7 +303,7 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     may = close("bits_a", "bits_b", F.col("n_a"), F.col("n_b"), percent)
     outer = near.join(sides[0], "grp_a").join(sides[1], "grp_b").filter(may)
     nearest = F.min(F.struct(differing("bits_a", "bits_b").alias("d"), "a", "b", "row_a", "row_b")).alias("p")
-    outer = outer.groupBy("grp_b").agg(nearest).select("p.a", "p.b", "p.row_a", "p.row_b")
+    outer = outer.groupBy("grp_b").agg(nearest).select("p.a", "p.b", "p.row_a", "p.row_b")  # a is the lead's
     inner = (
         member.select("grp", F.col("node").alias("b"), F.col("row").alias("row_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
         .join(sides[0].withColumnRenamed("grp_a", "grp"), "grp")
@@ -306,7 +312,7 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     )
     pairs = stored(outer.union(inner), "pairs")
     texts = keyed.select("row", "text")
-    links = stored(_links(pairs, _texts_of(texts, pairs), size, percent), "links")
+    links = stored(_links(pairs, texts, size, percent), "links")
     roots = components(links)
     # second round: groups that share a shingle and are not of one class yet
     classed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -345,7 +351,7 @@ def jaccard_classes(docs: DataFrame, carry: list[str], size: int = 4, percent: i
     )
     rest = stored(rest, "pairs")
     if not rest.isEmpty():
-        more = _links(rest, _texts_of(texts, rest), size, percent)
+        more = _links(rest, texts, size, percent)
         roots = components(stored(links.union(more), "links"))
     # each class with its smallest doc_id, back to the rows
     placed = nodes.select("set_key", "node", "least").join(roots, "node", "left")

@@ -23,7 +23,7 @@ def block_scan(
     rows: DataFrame,
     key: str,
     at: str,
-    step: Column,
+    prepare: Callable[[DataFrame], DataFrame],
     identity: Column,
     compose: Callable[[Column, Column], Column],
     start: Column,
@@ -33,17 +33,19 @@ def block_scan(
 ) -> DataFrame:
     """``rows`` with the state ``name`` in which each begins, in the order of ``at`` for each ``key``.
 
-    ``step`` is what a row does, ``compose(f, g)`` is f and then g, ``apply(state, f)`` the
-    state after f. ``at`` is a whole number from 0 that should not leave large gaps; rows of
-    one ``at`` stand in the order of their other columns. Null keys are one key.
+    ``prepare`` adds ``_step``, what a row does, and maybe other columns; it runs on rows that
+    are spread by key and block already. ``compose(f, g)`` is f and then g, ``apply(state, f)``
+    the state after f. ``at`` is a whole number from 0 that should not leave large gaps; rows
+    of one ``at`` stand in the order of their other columns. Null keys are one key.
     """
     size = max(2, size)
-    kept = F.struct(*rows.columns)
+
+    def in_blocks(below: DataFrame) -> DataFrame:
+        return below.withColumn("_block", F.floor(F.col("_at") / size).cast("bigint"))
 
     def grouped(below: DataFrame) -> DataFrame:
-        block = F.floor(F.col("_at") / size).cast("bigint")
         items = F.array_sort(F.collect_list(F.struct("_at", "_row", "_step")))
-        return below.groupBy(F.col("_key"), block.alias("_block")).agg(items.alias("_items"))
+        return below.groupBy("_key", "_block").agg(items.alias("_items"))
 
     def begun(blocks: DataFrame) -> DataFrame:
         """Each item of each block with its state; ``_state`` is the block's own."""
@@ -59,16 +61,17 @@ def block_scan(
         placed = F.arrays_zip("_items", states.alias("_begin"))
         return blocks.select("_key", F.inline(placed)).select("_key", "_items.*", F.col("_begin").alias("_state"))
 
-    first = rows.select(
-        F.struct(key).alias("_key"), F.col(at).cast("bigint").alias("_at"), kept.alias("_row"), step.alias("_step")
-    )
+    spread = in_blocks(rows.select("*", F.struct(key).alias("_key"), F.col(at).cast("bigint").alias("_at")))
+    first = prepare(spread.repartition("_key", "_block"))
+    kept = [c for c in first.columns if c not in ("_key", "_at", "_block", "_step")]
+    first = first.select("_key", "_block", "_at", F.struct(*kept).alias("_row"), "_step")
     levels = [stored(grouped(first), "scan")]
     while not levels[-1].filter("_block > 0").isEmpty():
         folded = F.aggregate("_items", identity, lambda acc, x: compose(acc, x["_step"]))
         above = levels[-1].select(
             "_key", F.col("_block").alias("_at"), F.lit(None).cast("int").alias("_row"), folded.alias("_step")
         )
-        levels.append(stored(grouped(above), "scan"))
+        levels.append(stored(grouped(in_blocks(above)), "scan"))
     top = levels[-1].withColumn("_state", start)
     for level in reversed(levels[:-1]):
         states = begun(top).select("_key", F.col("_at").alias("_block"), "_state")

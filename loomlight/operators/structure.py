@@ -44,17 +44,20 @@ def _body(code: Column) -> Column:
     return F.regexp_replace(code, r'(?:"|/\*)\z', "")
 
 
-def _after(text: Column) -> Column:
-    """The state behind a text that begins in code."""
-    code = _code(text)
-    body = _body(code)
+def _waits(body: Column) -> Column:
+    """What the end of a code text waits for: K and a class word, N, E or nothing."""
     word = F.regexp_extract(body, AWAITS_NAME, 1)
-    waits = (
+    return (
         F.when(word != "", F.concat(F.lit("K"), word))
         .when(body.rlike(AWAITS_EQUALS), "N")
         .when(body.rlike(AWAITS_END), "E")
         .otherwise("")
     )
+
+
+def _after(code: Column, lead: Column) -> Column:
+    """The state behind a line, given its code and what code came before it."""
+    waits = _waits(F.concat(lead, _body(code)))
     return F.when(F.endswith(code, F.lit('"')), "S").otherwise(
         F.concat(F.when(F.endswith(code, F.lit("/*")), "B").otherwise("C"), waits)
     )
@@ -66,49 +69,84 @@ def _entry(state: Column, function: Column) -> Column:
     return F.replace(F.element_at(function, place), F.lit("\x01"), F.substring(state, 3, 99))
 
 
-def line_function(line: Column) -> Column:
-    """For each state in which a line may begin, the one in which the next line begins."""
+def line_functions(lines: DataFrame) -> DataFrame:
+    """Add ``_step``: for each state in which a line may begin, the one in which the next line begins.
+
+    Most lines end in a semicolon or hold no string or comment, and need no look from all states.
+    """
+    line = F.col("line")
     trimmed = F.regexp_replace(line, r"\s+\z", "")
-    plain = F.endswith(trimmed, F.lit(";")) & ~line.rlike(r"""["']|/\*|\*/|//""")
-    return (
-        F.when(F.trim(F.translate(line, "\t\x0b\f\r", "    ")) == "", _strings(BLANK))
-        .when(plain, _strings(PLAIN))
-        .otherwise(F.transform(_strings(LEADS.values()), lambda lead: _after(F.concat(lead, line))))
+    kinds = F.when(trimmed == "", "blank").when(line.rlike(r"""["']|/\*|\*/|//"""), "mixed")
+    kinds = kinds.when(F.endswith(trimmed, F.lit(";")), "plain").otherwise("code")
+    seen = lines.withColumn("_kind", kinds)
+    mixed = F.col("_kind") == "mixed"
+    for name, lead in (("_in_code", ""), ("_in_text", '"'), ("_in_remark", "/*")):
+        seen = seen.withColumn(name, F.when(mixed, _code(F.concat(F.lit(lead), "line"))))
+    seen = seen.withColumn("_own", F.when(F.col("_kind") == "code", F.concat(F.lit("C"), _waits(line))))
+    begun = {"C": "_in_code", "S": "_in_text", "B": "_in_remark"}
+    froms = [
+        F.struct(F.col(begun[state[0]]).alias("code"), F.lit(lead.rstrip('/*"')).alias("lead"))
+        for state, lead in LEADS.items()
+    ]
+    full = F.transform(F.array(*froms), lambda x: _after(x["code"], x["lead"]))
+    own = F.col("_own")
+    word = F.concat(F.lit("C"), _waits(F.concat(F.lit("\x01 "), line)))
+    code = F.array(own, word, own, own, *[F.lit(v) for v in BLANK[4:]])
+    step = (
+        F.when(F.col("_kind") == "blank", _strings(BLANK))
+        .when(F.col("_kind") == "plain", _strings(PLAIN))
+        .when(mixed, full)
+        .otherwise(code)
     )
+    return seen.withColumn("_step", step).drop("_kind", "_in_code", "_in_text", "_in_remark", "_own")
 
 
 def line_states(lines: DataFrame, size: int = SIZE) -> DataFrame:
     """(file, line_no, line) with the ``state`` at the start of each line."""
     clean = lines.select("file", "line_no", F.translate("line", "\x01\x02", "  ").alias("line"))
     return block_scan(
-        clean, "file", "line_no", line_function(F.col("line")), _strings(BLANK),
+        clean, "file", "line_no", line_functions, _strings(BLANK),
         lambda f, g: F.transform(f, lambda state: _entry(state, g)), F.lit("C"), _entry, "state", size,
     )
 
 
-def _events(state: Column, line: Column) -> Column:
-    """What a line opens, ends and names, as (kind, restriction, name) in order."""
+NO_EVENTS = "array<struct<kind:string,restriction:string,name:string>>"
+MAY_HOLD_EVENTS = r"model|class|package|function|record|block|connector|type|operator|end|within"
+
+
+def with_events(states: DataFrame) -> DataFrame:
+    """Add ``events``: what a line opens, ends and names, as (kind, restriction, name) in order."""
+    state = F.col("state")
     place = F.array_position(_strings(LEADS), F.substring(state, 1, 2)).cast("int")
-    text = F.concat(F.element_at(_strings(LEADS.values()), place), line)
+    may = F.col("line").rlike(MAY_HOLD_EVENTS) | (F.length(state) > 1)
+    text = F.when(may, F.concat(F.element_at(_strings(LEADS.values()), place), F.col("line")))
     found = F.regexp_extract_all(_body(_code(text)), F.lit(T.EVENT), F.lit(0))
+    parts = F.transform(
+        found,
+        lambda e: F.struct(
+            e.alias("text"), F.regexp_extract(e, rf"({T.NAME})\s*=?\z", 1).alias("name"),
+            F.regexp_extract(e, rf"\A({T.OPENING_WORD})", 1).alias("word"),
+        ),
+    )
 
-    def event(e):
-        name = F.regexp_extract(e, rf"({T.NAME})\s*=?\z", 1)
-        word = F.regexp_extract(e, rf"\A({T.OPENING_WORD})", 1)
-        is_short = F.endswith(e, F.lit("="))
-        before = name == "\x02"  # the name stands on an earlier line, where it has opened its class
+    def event(p):
+        is_short = F.endswith(p["text"], F.lit("="))
+        before = p["name"] == "\x02"  # the name stands on an earlier line, where it has opened its class
         kind = (
-            F.when(F.startswith(e, F.lit("redeclare")) | (before & ~is_short), "none")
-            .when(before | F.startswith(e, F.lit("end")), "end")
-            .when(F.startswith(e, F.lit("within")), "within")
+            F.when(F.startswith(p["text"], F.lit("redeclare")) | (before & ~is_short), "none")
+            .when(before | F.startswith(p["text"], F.lit("end")), "end")
+            .when(F.startswith(p["text"], F.lit("within")), "within")
             .when(is_short, "short")
             .otherwise("open")
         )
-        restriction = F.when(word == "\x01", F.substring(state, 3, 99)).otherwise(word)
-        named = F.when(kind == "within", F.regexp_extract(e, r"([\w.]+)\z", 1)).otherwise(name)
-        return F.struct(kind.alias("kind"), restriction.alias("restriction"), named.alias("name"))
+        restriction = F.when(p["word"] == "\x01", F.substring(state, 3, 99)).otherwise(p["word"])
+        within = F.regexp_extract(p["text"], r"\Awithin\s+([\w.]+)\z", 1)
+        return F.struct(
+            kind.alias("kind"), restriction.alias("restriction"), F.when(within != "", within).otherwise(p["name"]).alias("name")
+        )
 
-    return F.filter(F.transform(found, event), lambda x: x["kind"] != "none")
+    events = F.filter(F.transform(parts, event), lambda x: x["kind"] != "none")
+    return states.withColumn("events", F.coalesce(events, F.array().cast(NO_EVENTS)))
 
 
 def _names_put_on(event: Column) -> Column:
@@ -148,11 +186,14 @@ def nested(lines: DataFrame, size: int = SIZE) -> DataFrame:
     The names of the ``within`` clause come first. An ``end`` without an open class ends
     nothing. The result is stored, as classes, declarations and imports all read it.
     """
-    states = line_states(lines, size).withColumn("events", _events(F.col("state"), F.col("line")))
     moves = F.aggregate("events", _nothing(), lambda acc, e: _compose(acc, _move(e)))
+    step = F.when(F.size("events") > 0, moves).otherwise(_nothing())
+    prepare = lambda states: with_events(states).withColumn("_step", step)
     none = F.array().cast("array<string>")
     return stored(
-        block_scan(states, "file", "line_no", moves, _nothing(), _compose, none, _names_after, "scope", size),
+        block_scan(
+            line_states(lines, size), "file", "line_no", prepare, _nothing(), _compose, none, _names_after, "scope", size
+        ),
         "structure",
     )
 

@@ -63,7 +63,7 @@ def due_rows(
     batch.sortWithinPartitions(time).write.mode("overwrite").parquet(own)
     arrived = spark.read.schema(batch.schema).parquet(own)
     before = read_marks(spark, f"{path}/marks/batch={batch_id - 1}") if batch_id > 0 else Marks()
-    at = F.unix_micros(time)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     begin = before.watermark
     is_late = at.isNull() if begin is None else (at.isNull() | (at < begin))
     seen = arrived.agg(F.min(F.when(~is_late, at)).alias("low"), F.max(at).alias("high"), F.count_if(is_late).alias("late")).first()

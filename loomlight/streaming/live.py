@@ -132,7 +132,7 @@ class RunStatus(Live):
         state = KeyedState(rows.sparkSession, f"{self.table}/state", "run_id", "status string")
         # a status goes with the time it was set at
         scan = runs.status_scan(rows, "run_id", self.ORDER)
-        scan = scan.withColumn("_status", F.concat("_status", F.lit("@"), F.unix_micros("ts").cast("string")))
+        scan = scan.withColumn("_status", F.concat("_status", F.lit("@"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string")))
         known = cut(state.look_up(batch_id, scan).select("run_id", "status"))
         polls = runs.polls_with_status(scan, "run_id", self.ORDER, known)
         status = F.substring_index("status", "@", 1)
@@ -140,7 +140,7 @@ class RunStatus(Live):
         expires = F.lit(None).cast("bigint")
         if self.keep is not None:
             expires = F.when(status != "running", set_at + int(self.keep / timedelta(microseconds=1)))
-        over = F.coalesce(F.unix_micros("ts") >= expires, F.lit(False))
+        over = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) >= expires, F.lit(False))
         answers = polls.withColumn("status", F.when(over, "unknown").otherwise(status))
         answers.write.mode("overwrite").parquet(f"{self.table}/polls/batch={batch_id}")
         after = runs.last_status(scan, ["run_id"], self.ORDER).dropna().withColumnRenamed("_status", "status")

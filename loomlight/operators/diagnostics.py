@@ -175,11 +175,18 @@ def library_warnings(failures: DataFrame, text: str = "text") -> DataFrame:
 
 
 def project_scope_filter(diagnostics: DataFrame, root: str = "root") -> DataFrame:
-    """Findings without a file, in the project, or in a script."""
-    file = F.col("file")
-    return diagnostics.filter(
-        (file == "") | P.lies_under(file, F.col(root)) | F.endswith(file, F.lit(".mos"))
-    )
+    """Findings without a file, in the project, or in a script.
+
+    The test is a generator of one or no row, in which both paths are made plain once: as a
+    filter it would be pushed down, and the file parsed again for each part of it.
+    """
+
+    def in_scope(x):
+        below = (x["_file"] == x["_top"]) | F.startswith(x["_file"], F.concat(x["_top"], F.lit("/")))
+        return (x["file"] == "") | below | F.endswith(x["file"], F.lit(".mos"))
+
+    row = F.struct(*diagnostics.columns, P.plain(F.col("file")).alias("_file"), P.plain(F.col(root)).alias("_top"))
+    return diagnostics.select(F.inline(F.filter(F.array(row), in_scope))).drop("_file", "_top")
 
 
 def gated_diagnostics(

@@ -41,8 +41,10 @@ def count_scan(
 ) -> DataFrame:
     """Calls with the client count of their key before and after: ``clients_before``, ``clients``.
 
-    ``initial`` (key, clients) is what was counted before these calls.
+    ``initial`` (key, clients) is what was counted before these calls. Events that neither
+    connect nor disconnect are no calls.
     """
+    calls = calls.filter(F.col("op").isin("connect", "disconnect"))
     split = range_split(calls.withColumn("_step", step(F.col("op"))), [key], order, ranges)
     local = split.withColumn("_sum", F.sum("_step").over(within(order)))
     # The lowest running sum so far, with and without the current call.

@@ -141,7 +141,8 @@ def run_status_asof(
 def status_scan(
     events: DataFrame, run: str, order: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Range split of the events with the status each one sets."""
+    """Range split of the events with the status each one sets; other events than those of runs are left out."""
+    events = events.filter(F.col("op").isin("submit", "finish", "fail", "poll"))
     status = (
         F.when(F.col("op") == "submit", "running")
         .when(F.col("op") == "finish", "finished")

@@ -117,12 +117,15 @@ def corpus_lines(spark, sf_dir):
 
 @query
 def vocab_source(spark, sf_dir):
-    """Words of the vocabulary with the number of times documents start a line with them."""
-    first = F.regexp_extract("line", r"\A\s*(\w+)", 1)
-    used = document_lines(spark, sf_dir).select(F.lower(first).alias("name"))
+    """The vocabulary, read from word lists, with the number of times documents use each word."""
+    lists = {kind: scratch_path(spark, "words") for kind in ("Keyword", "Type")}
+    for kind, path in lists.items():
+        files.write_words(names.vocabulary(spark).filter(F.col("kind") == kind), path)
+    known = files.read_words(spark, lists["Keyword"], "Keyword").unionByName(files.read_words(spark, lists["Type"], "Type"))
+    used = document_lines(spark, sf_dir).select(F.explode(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0))).alias("name"))
     counts = used.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    known = names.vocabulary(spark).join(counts, "name", "left")
-    return known.select("kind", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"))
+    found = known.join(counts, "name", "left")
+    return found.select("kind", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_uses"))
 
 
 @query
@@ -159,9 +162,10 @@ def json_egress(spark, sf_dir):
 def recent_snapshot(spark, sf_dir):
     events = inputs.table(spark, sf_dir, "events")
     path = scratch_path(spark, "recent")
-    files.write_snapshot(registry.hits(events.filter("event_type = 'view'"), "user_id"), path)
+    early = F.col("event_type").isin("view", "signup")
+    files.write_snapshot(registry.hits(events.filter(early), "user_id"), path)
     old = files.read_snapshot(spark, path, "item bigint, hits bigint")
-    merged = registry.merge_hits(old, registry.hits(events.filter("event_type = 'click'"), "user_id"))
+    merged = registry.merge_hits(old, registry.hits(events.filter(~early), "user_id"))
     saved = scratch_path(spark, "recent")
     files.write_snapshot(merged, saved)
     return files.read_snapshot(spark, saved, "item bigint, hits bigint")
@@ -290,8 +294,8 @@ def files_outside_packages(spark, sf_dir):
 @query
 def gated_diagnostics(spark, sf_dir):
     return diagnostics.gated_diagnostics(
-        inputs.stage_findings(spark, sf_dir, "A"),
-        inputs.stage_findings(spark, sf_dir, "N"),
+        inputs.stage_findings(spark, sf_dir, True),
+        inputs.stage_findings(spark, sf_dir, False),
         inputs.not_instantiable(spark, sf_dir),
         "model",
     )
@@ -395,8 +399,7 @@ def fuzzy_rank(spark, sf_dir):
 
 @query
 def recent_topk(spark, sf_dir):
-    events = inputs.table(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
-    return registry.recent_topk(registry.hits(events, "user_id"), TOP)
+    return registry.recent_topk(registry.hits(inputs.table(spark, sf_dir, "events"), "user_id"), TOP)
 
 
 @query
@@ -572,7 +575,7 @@ def registry_stream(spark, sf_dir):
 
 @query
 def recent_stream(spark, sf_dir):
-    stream = inputs.event_stream(spark, sf_dir).filter("event_type in ('click', 'view')")
+    stream = inputs.event_stream(spark, sf_dir)
     table = scratch_path(spark, "recent-stream")
     counts = live.recent_stream(stream, "user_id")
     changelog.keep_changes(counts, table, scratch_path(spark, "offsets")).awaitTermination()

@@ -382,9 +382,10 @@ def library_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stage_findings(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
-    """Findings of one stage: the line items of one return flag, their order being the input."""
-    item = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+def stage_findings(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    """Findings of one stage, their order being the input: line items with flag A are the first, all others the second."""
+    flagged = F.col("l_returnflag") == "A"
+    item = table(spark, sf_dir, "lineitem").filter(flagged if first else ~flagged)
     return item.select(
         F.concat(F.lit("O"), "l_orderkey").alias("model"),
         F.concat(F.lit("finding "), "l_linenumber", F.lit(" on P"), "l_partkey").alias("message"),
@@ -464,11 +465,10 @@ def registry_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_events(events: DataFrame) -> DataFrame:
-    op = F.when(F.col("event_type") == "signup", "connect").when(
-        F.col("event_type") == "purchase", "disconnect"
-    )
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "connect").when(kind == "purchase", "disconnect").otherwise(kind)
     key = F.concat(F.lit("u"), "user_id").alias("key")
-    return events.select("ts", "event_id", key, op.alias("op")).filter(F.col("op").isNotNull())
+    return events.select("ts", "event_id", key, op.alias("op"))
 
 
 def status_events(events: DataFrame) -> DataFrame:
@@ -478,9 +478,10 @@ def status_events(events: DataFrame) -> DataFrame:
         .when(kind == "purchase", "finish")
         .when(kind == "error", "fail")
         .when(kind == "click", "poll")
+        .otherwise(kind)
     )
     run = F.concat(F.lit("r"), "user_id").alias("run_id")
-    return events.select("ts", "event_id", run, op.alias("op")).filter(F.col("op").isNotNull())
+    return events.select("ts", "event_id", run, op.alias("op"))
 
 
 def file_changes(events: DataFrame) -> DataFrame:
@@ -489,9 +490,10 @@ def file_changes(events: DataFrame) -> DataFrame:
         F.when(kind == "signup", "create")
         .when(kind == "error", "delete")
         .when(kind == "click", "modify")
+        .otherwise(kind)
     )
     path = F.concat(F.lit("/work/f"), "user_id", F.lit(".mo")).alias("path")
-    return events.select("ts", "event_id", path, op.alias("op")).filter(F.col("op").isNotNull())
+    return events.select("ts", "event_id", path, op.alias("op"))
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

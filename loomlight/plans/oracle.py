@@ -385,7 +385,7 @@ STATUS = """
         FROM events) WHERE event_type = 'click'
 """
 RECENT = f"""
-    SELECT user_id AS item, count(*) AS hits FROM events WHERE event_type IN ('click', 'view')
+    SELECT user_id AS item, count(*) AS hits FROM events
     GROUP BY user_id ORDER BY hits DESC, item LIMIT {TOP}
 """
 
@@ -466,10 +466,10 @@ ORACLES: dict[str, str] = {
     ),
     "corpus_lines": with_fragments("SELECT * FROM document_lines", "document_lines"),
     "vocab_source": with_fragments(
-        f"""SELECT kind, v.name, count(l.first) AS n_lines
+        f"""SELECT kind, v.name, count(l.word) AS n_uses
             FROM (VALUES {WORDS}) v(kind, name) LEFT JOIN (
-                SELECT lower(regexp_extract(line, '\\A\\s*(\\w+)', 1)) AS first FROM document_lines) l
-            ON l.first = v.name GROUP BY ALL""",
+                SELECT unnest(regexp_extract_all(line, '\\w+')) AS word FROM document_lines) l
+            ON l.word = v.name GROUP BY ALL""",
         "document_lines",
     ),
     "run_results_long": f"""
@@ -512,8 +512,7 @@ ORACLES: dict[str, str] = {
         "order_variables",
     ),
     "recent_snapshot": """
-        SELECT user_id AS item, count(*) AS hits FROM events
-        WHERE event_type IN ('click', 'view') GROUP BY user_id""",
+        SELECT user_id AS item, count(*) AS hits FROM events GROUP BY user_id""",
     "docs_site": with_fragments(
         f"""SELECT class_name, block AS part,
                    CASE WHEN block = 0 THEN {filled(PAGE_HEAD + "<ul>")} ELSE '' END || items ||
@@ -616,7 +615,7 @@ ORACLES: dict[str, str] = {
                    'finding ' || l_linenumber || ' on P' || l_partkey AS message FROM lineitem)
         SELECT model, message, 1 AS stage FROM found WHERE flag = 'A'
         UNION ALL
-        SELECT model, message, 2 FROM found f WHERE flag = 'N'
+        SELECT model, message, 2 FROM found f WHERE flag <> 'A'
           AND NOT EXISTS (SELECT 1 FROM found a WHERE a.flag = 'A' AND a.model = f.model)
           AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND 'O' || o_orderkey = f.model)""",
     "class_docs": with_fragments(

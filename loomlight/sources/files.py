@@ -53,6 +53,11 @@ def read_words(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return words.select(F.lit(kind).alias("kind"), F.col("value").alias("name"))
 
 
+def write_words(words: DataFrame, path: str) -> None:
+    """Save the names of a word table as a word list, one to a line."""
+    words.select(F.col("name").alias("value")).write.mode("errorifexists").text(path)
+
+
 def csv_cells(line: Column) -> Column:
     """The cells of one CSV line; a quoted cell may hold commas and doubled quotes."""
     cells = F.regexp_extract_all(line, F.lit(r'(?<=^|,)("(?:[^"]|"")*+"|[^,]*)'), F.lit(1))

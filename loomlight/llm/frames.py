@@ -131,8 +131,16 @@ FILTER_BITS = 1 << 23
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose long ``key`` may be among those of ``keys``: none of these is lost.
 
+    Rows that pass by chance must be dropped by the join that follows.
+    """
+    return may_be_in(df, key, keys).filter("may_be").drop("may_be")
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``may_be``: false only where the long ``key`` is not among those of ``keys``.
+
     The keys set bits of one bitmap of fixed size, 256 rows of 4 kB, which is all that
-    is broadcast. Rows that pass by chance must be dropped by the join that follows.
+    is broadcast. A null key may be none of them.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
     bits = keys.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
@@ -141,8 +149,8 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     bit = F.bitmap_bit_position("_at")
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
     is_set = F.expr("getbit(cast(_byte AS bigint), cast(_bit % 8 AS int))") == 1
-    joined = marked.join(F.broadcast(bitmap), "_bucket").withColumns({"_byte": byte, "_bit": bit})
-    return joined.filter(is_set).select(*df.columns)
+    joined = marked.join(F.broadcast(bitmap), "_bucket", "left").withColumns({"_byte": byte, "_bit": bit})
+    return joined.select(*df.columns, F.coalesce(is_set, F.lit(False)).alias("may_be"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Personal data: patterns find it, and corpus co-occurrence finds the terms that give it away.
 
-An entity is a value that a pattern found (an address, a number). Terms are the words
-close to it. Over the whole corpus, the documents with a term, with an entity, and with
-the term close to the entity are counted. The pointwise mutual information of term and
-entity, as a share of the information content of the entity, says how much of the entity
-the term discloses: 1 if the term stands nowhere but where the entity does. Terms beyond
-a threshold are generalised to a placeholder, or removed if they disclose all.
+An entity is a value that a pattern found (an address, a number). Candidate terms are the
+words that stand within five words of it. How likely the entity is where the term stands is
+estimated from counts over the corpus: the term's occurrences in documents where it stands
+near the entity, over all its occurrences and one more, so that a word seen once proves
+little. What that tells of the entity is the information gained, as a share of the entity's
+information content, times that likelihood. Terms beyond a threshold are generalised to a
+placeholder in all places of every document that holds the entity, and removed if they
+disclose nearly all.
 
 All of it is DataFrame expressions. Places of matches follow from the lengths of the
 matches and of the parts between them. The patterns match what their plain forms match,
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.frames import ROW, maybe_in, packed, pick, unpacked
+from loomlight.llm.frames import ROW, may_be_in, maybe_in, packed, pick, unpacked
 from loomlight.llm.quality_rules import let
 from loomlight.session import stored
 
@@ -32,38 +34,66 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "phone": "+"}
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words on each side of an entity, and the characters in which they are looked for.
-WORDS, REACH = 5, 120
-#: Least share of the entity disclosed. It alone decides, as most entities stand in one or two documents.
-DISCLOSURE = 0.75
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words on each side of an entity that are its candidates.
+WORDS = 5
+#: Least share of the entity's information that a term discloses, and from which on it is removed.
+DISCLOSURE, REMOVED = 0.6, 0.8
+#: Occurrences that a term is taken to have elsewhere, beyond those seen.
+ELSEWHERE = 1
 #: Matches that one list holds while places are worked out, so that long lists are not copied for each.
 CHUNK = 256
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+def scanned(items: Column, zero: Column, plus, value, emit, kind: str) -> Column:
+    """``emit(state, x)`` of each item, the state being the sum of ``value(x)`` over the items before it.
+
+    ``plus`` adds two states, ``kind`` is the type of what is given. Lists of CHUNK items are
+    walked on their own, from the sum over the lists before, as Spark copies what a walk holds
+    at each step: a long list then takes time by its length, not its square.
+    """
+
+    def run(own: Column) -> Column:
+        part = lambda c: F.slice(own, c * CHUNK + 1, F.lit(CHUNK))
+        total = lambda xs: F.aggregate(xs, zero, lambda a, x: plus(a, value(x)))
+        at = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int"))
+        none = F.array_compact(F.array(F.when(F.lit(False), zero)))
+        starts = F.aggregate(
+            F.transform(at, lambda c: total(part(c))), F.struct(zero.alias("now"), none.alias("out")),
+            lambda a, x: F.struct(plus(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+        def walked(y: Column) -> Column:
+            start = F.struct(y["start"].alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+            step = lambda a, x: F.struct(
+                plus(a["now"], value(x)).alias("now"), F.concat(a["out"], F.array(emit(a["now"], x))).alias("out")
+            )
+            return F.aggregate(part(y["c"]), start, step, lambda a: a["out"])
+
+        return F.flatten(F.transform(F.arrays_zip(at.alias("c"), starts.alias("start")), walked))
+
+    return let(items, lambda own: F.when(F.size(own) == 0, F.array().cast(f"array<{kind}>")).otherwise(run(own)))
+
+
+_PLACE = "struct<s:int,e:int,v:string>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` as structs of start, end (code points, exclusive) and value."""
 
     def placed(x: Column) -> Column:
         m, gaps = x["m"], x["gaps"]
-        start = F.struct(
-            F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("done"), F.array().cast(_SPAN).alias("now")
+        items = F.transform(
+            m, lambda v, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(v).alias("own"), v.alias("v"))
         )
-
-        def step(a: Column, i: Column) -> Column:
-            s = a["at"] + F.length(gaps[i])
-            e = s + F.length(m[i])
-            full = F.size(a["now"]) >= CHUNK
-            own = F.array(F.struct(s.alias("s"), e.alias("e"), m[i].alias("v")))
-            return F.struct(
-                e.alias("at"),
-                F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
-                F.when(full, own).otherwise(F.concat(a["now"], own)).alias("now"),
-            )
-
-        end = lambda a: F.flatten(F.concat(a["done"], F.array(a["now"])))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, end)
+        return scanned(
+            items, F.lit(0), lambda a, b: a + b, lambda y: y["gap"] + y["own"],
+            lambda at, y: F.struct((at + y["gap"]).alias("s"), (at + y["gap"] + y["own"]).alias("e"), y["v"].alias("v")),
+            _PLACE,
+        )
 
     def found(m: Column) -> Column:
         both = F.struct(m.alias("m"), F.split(text, pattern, -1).alias("gaps"))
@@ -127,85 +157,148 @@ def _entity(x: Column) -> Column:
     return value
 
 
-def context(text: Column, spans: Column) -> Column:
-    """Structs (entity, term, s, e): the whole words near each span, none of them inside a span."""
+def words_of(text: Column) -> Column:
+    """The words of a text as :func:`located` gives them; A-Z match as small letters, places are the text's own."""
+    return located(F.translate(text, CAPITALS, SMALL), TERM)
 
-    def near(x: Column) -> Column:
-        begin = F.greatest(x["s"] - REACH, F.lit(0))
-        left = located(F.substring(text, begin + 1, x["s"] - begin), TERM)
-        whole = F.filter(left, lambda w: (w["s"] > 0) | (begin == 0))
-        before = F.transform(
-            F.slice(whole, F.greatest(F.size(whole) - WORDS + 1, F.lit(1)), F.lit(WORDS)),
-            lambda w: F.struct((w["s"] + begin).alias("s"), (w["e"] + begin).alias("e"), w["v"].alias("v")),
-        )
-        right = located(F.substring(text, x["e"] + 1, F.lit(REACH)), TERM)
-        ended = F.filter(right, lambda w: (w["e"] < REACH) | (x["e"] + REACH >= F.length(text)))
-        after = F.transform(
-            F.slice(ended, 1, WORDS),
-            lambda w: F.struct((w["s"] + x["e"]).alias("s"), (w["e"] + x["e"]).alias("e"), w["v"].alias("v")),
-        )
-        apart = F.filter(
-            F.concat(before, after),
-            lambda w: ~F.exists(spans, lambda y: (w["s"] < y["e"]) & (y["s"] < w["e"])),
-        )
-        return F.transform(
-            apart,
-            lambda w: F.struct(
-                _entity(x).alias("entity"), F.lower(w["v"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")
+
+def _apart(words: Column, spans: Column) -> Column:
+    """(words, after): the words that touch no span, and how many of them stand before each span.
+
+    Words and spans are walked together in the order of their starts. A word touches a span
+    that has begun before and not ended, or one that begins inside it, which comes next.
+    """
+    merged = F.array_sort(F.concat(
+        F.transform(words, lambda w: F.struct(w["s"].alias("s"), F.lit(1).alias("word"), w["e"].alias("e"), w["v"].alias("v"))),
+        F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("word"), x["e"].alias("e"), F.lit("").alias("v"))),
+    ))
+
+    def judged(own: Column) -> Column:
+        follows = F.transform(
+            own,
+            lambda x, i: F.struct(
+                x.alias("x"), F.when(F.get(own, i + 1)["word"] == 0, F.get(own, i + 1)["s"]).alias("next_span")
             ),
         )
+        kept = scanned(
+            follows, F.lit(0), lambda a, b: F.greatest(a, b), lambda y: F.when(y["x"]["word"] == 0, y["x"]["e"]).otherwise(0),
+            lambda end, y: F.struct(
+                y["x"]["s"].alias("s"), y["x"]["e"].alias("e"), y["x"]["v"].alias("v"), (y["x"]["word"] == 0).alias("span"),
+                ((y["x"]["word"] == 1) & (y["x"]["s"] >= end) & ~F.coalesce(y["next_span"] < y["x"]["e"], F.lit(False))).alias("kept"),
+            ),
+            "struct<s:int,e:int,v:string,span:boolean,kept:boolean>",
+        )
+
+        def both(items: Column) -> Column:
+            before = scanned(
+                items, F.lit(0), lambda a, b: a + b, lambda y: y["kept"].cast("int"),
+                lambda n, y: F.struct(n.alias("n"), y["span"].alias("span")), "struct<n:int,span:boolean>",
+            )
+            plain = lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["v"].alias("v"))
+            return F.struct(
+                F.transform(F.filter(items, lambda y: y["kept"]), plain).alias("words"),
+                F.transform(F.filter(before, lambda y: y["span"]), lambda y: y["n"]).alias("after"),
+            )
+
+        return let(kept, both)
+
+    return let(merged, judged)
+
+
+def context(text: Column, spans: Column) -> Column:
+    """Structs (entity, term): the words within WORDS words of each span, none of them touching a span."""
+
+    def near(x: Column) -> Column:
+        words, after = x["words"], x["after"]
+        each = F.arrays_zip(spans.alias("span"), after.alias("n"))
+
+        def of_span(y: Column) -> Column:
+            begin = F.greatest(y["n"] - WORDS, F.lit(0))
+            own = F.slice(words, begin + 1, y["n"] - begin + WORDS)
+            pair = lambda entity: F.transform(own, lambda w: F.struct(entity.alias("entity"), F.lower(w["v"]).alias("term")))
+            return let(_entity(y["span"]), pair)
+
+        return F.flatten(F.transform(each, of_span))
+
+    return let(_apart(words_of(text), spans), near)
+
 
-    return F.flatten(F.transform(spans, near))
+def occurrences(docs: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """(key, term, s, e) of the words of ``docs`` (key, text) that may be asked for: of ``asked``, all are there.
+
+    ``on`` names what is asked: terms, or terms of one key.
+    """
+    words = docs.select("key", F.explode(words_of(F.col("text"))).alias("w"))
+    said = words.select("key", F.lower("w.v").alias("term"), "w.s", "w.e").withColumn("h", F.xxhash64(*on))
+    return maybe_in(said, "h", asked.select(F.xxhash64(*on).alias("h"))).drop("h")
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, share): terms that disclose at least DISCLOSURE of the entity.
 
-    ``found`` has a key for each row with its spans and context, ``docs`` the key and the
-    text. Rows of one key count once.
+    ``found`` has a key, the spans and the context of each row that has spans, ``docs`` the
+    key and the text of all. Rows of one key count once for the entities and the terms near
+    them, and as often as they stand there for all else.
     """
-    pairs = found.select("key", F.explode("context").alias("c")).select("key", "c.entity", "c.term").distinct()
-    joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "joint")
+    pairs = stored(found.select("key", F.explode("context").alias("c")).select("key", "c.entity", "c.term").distinct(), "pairs")
+    asked = pairs.select("key", "term").distinct()
+    holding = docs.join(found.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    times = occurrences(holding, asked, ["key", "term"]).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    joint = pairs.join(times, ["key", "term"]).groupBy("entity", "term").agg(F.sum("n").alias("n"))
     entity = F.explode(F.array_distinct(F.transform("spans", _entity)))
-    of_entity = found.select("key", entity.alias("entity")).distinct()
-    of_entity = of_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    asked = joint.select("term").distinct().withColumn("h", F.xxhash64("term"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))
-    spoken = docs.select(F.explode(words).alias("term")).withColumn("h", F.xxhash64("term"))
-    of_term = maybe_in(spoken, "h", asked).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.agg(F.count(F.lit(1))).scalar()
-    known = joint.join(of_entity, "entity").join(of_term, "term").withColumn("n_all", total)
-    gained = F.log(F.col("n") * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
-    content = F.log(F.col("n_all") / F.col("n_entity"))
-    share = F.when(content > 0, gained / content).otherwise(F.lit(0.0))
+    of_entity = found.select("key", entity.alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    spoken = F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(TERM), 0)
+    said = docs.select(F.explode(spoken).alias("term")).withColumn("term", F.lower("term"))
+    said = said.withColumn("h", F.xxhash64("term"))
+    terms = joint.select(F.xxhash64("term").alias("h")).distinct()
+    of_term = maybe_in(said, "h", terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    known = joint.join(of_term, "term").join(of_entity, "entity").withColumn("n_all", total)
+    likely = F.col("n") / (F.col("n_term") + ELSEWHERE)
+    base = F.least(F.col("n_entity") / F.col("n_all"), F.lit(1.0))
+    share = F.when(base < 1, likely * F.log(likely / base) / F.log(1 / base)).otherwise(F.lit(0.0))
     return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= DISCLOSURE)
 
 
 def examined(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, spans and terms for each row of ``docs`` (doc_id, text and ``carry``).
 
-    ``spans`` are the base spans, ``terms`` the sorted disclosing terms (s, e, share) of
-    the text. Null and empty texts have neither; repeated rows get the same.
+    ``spans`` are the base spans, ``terms`` the sorted places of disclosing terms (s, e,
+    share) of the text. Null and empty texts have neither; repeated rows get the same.
     """
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = stored(with_context(keyed, carry), "spans")
-    return with_terms(found.drop("context"), told_terms(found, keyed)).select(*carry, "spans", "terms")
+    found = stored(with_spans(keyed, carry), "spans")
+    told = told_terms(found, keyed.select("key", "text"))
+    return with_terms(found.drop("context"), told).select(*carry, "spans", "terms")
 
 
-def with_context(keyed: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry``, key, spans and the context of the spans of each row."""
+def with_spans(keyed: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry``, key, spans and the context of the spans of each row; no context where there are no spans."""
     text = F.coalesce("text", F.lit(""))
-    with_spans = keyed.select(*carry, "key", text.alias("_text"), let(text, base_spans).alias("spans"))
+    found = keyed.select(*carry, "key", text.alias("_text"), let(text, base_spans).alias("spans"))
     both = let(F.struct("_text", "spans"), lambda x: F.when(F.size(x["spans"]) > 0, context(x["_text"], x["spans"])))
-    return with_spans.select(*carry, "key", "spans", both.alias("context"))
+    return found.select(*carry, "key", "spans", both.alias("context"))
+
 
+def told_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, terms) of the rows that have disclosing terms: each place of such a term in a text that holds its entity."""
+    rows = found.filter(F.size("spans") > 0).select("key", "spans", "context").dropDuplicates(["key"])
+    told = stored(disclosing(rows, docs), "disclosing")
+    holding = docs.join(rows.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    places = occurrences(holding, told, ["term"]).join(told, "term")
+    held = rows.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    hits = places.join(held, ["key", "entity"], "left_semi").groupBy("key", "s", "e").agg(F.max("share").alias("share"))
+    # a term inside a span goes with the span
+    spans = rows.select("key", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
+    listed = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
+    return listed.join(spans, "key").select("key", outside(F.col("terms"), F.col("spans")).alias("terms"))
 
-def told_terms(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(key, terms) of the rows that have disclosing terms."""
-    told = stored(disclosing(found.select("key", "spans", "context"), keyed.select("text")), "disclosing")
-    near = found.select("key", F.explode("context").alias("c")).select("key", "c.*")
-    hits = near.join(told, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("share").alias("share"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
+
+def outside(terms: Column, spans: Column) -> Column:
+    """The places (s, e, share) that touch no span; their words are told apart by where they begin and end."""
+    words = F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["share"].cast("string").alias("v")))
+    kept = let(_apart(words, spans), lambda x: x["words"])
+    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].cast("double").alias("share")))
 
 
 def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -222,40 +315,44 @@ def sanitised(text: Column, spans: Column, terms: Column) -> Column:
             terms,
             lambda x: F.struct(
                 x["s"].alias("s"), x["e"].alias("e"),
-                F.when(x["share"] >= 1, F.lit("")).otherwise(F.lit("<TERM>")).alias("by"),
+                F.when(x["share"] >= REMOVED, F.lit("")).otherwise(F.lit("<TERM>")).alias("by"),
             ),
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["s"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, x["s"] - a["at"])
-        return F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(fresh, F.concat(a["parts"], F.array(gap, x["by"]))).otherwise(a["parts"]).alias("parts"),
-        )
+    def replaced(own: Column) -> Column:
+        parts = scanned(
+            own, F.lit(0), lambda a, b: F.greatest(a, b), lambda x: x["e"],
+            lambda at, x: F.when(
+                x["s"] >= at, F.concat(F.substring(text, at + 1, x["s"] - at), x["by"])
+            ).otherwise(""),
+            "string",
+        )
+        end = F.array_max(F.transform(own, lambda x: x["e"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
 
-    rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(marked) == 0, text).otherwise(F.aggregate(F.array_sort(marked), start, step, rest))
+    return F.when(F.size(marked) == 0, text).otherwise(let(F.array_sort(marked), replaced))
 
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
     """All documents, with personal data and the terms that disclose it replaced; n_chars follows the text.
 
-    Spans are found twice, once for the terms and once for the texts, so that no copy of
-    the texts is written in between.
+    Spans are found in one pass and written without texts. Only documents that may have
+    some meet them again by key; all others pass as they are.
     """
     whole = packed(docs, doc_id="bigint", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
-    terms = stored(told_terms(stored(with_context(whole, []), "spans"), whole), "terms")
-    spans = let(F.coalesce("text", F.lit("")), base_spans).alias("spans")
-    found = with_terms(whole.select(ROW, "text", "key", spans), terms)
-    clean = found.withColumn("text", sanitised(F.col("text"), F.col("spans"), F.col("terms")))
-    changed = {"text": F.col("text")}
+    found = stored(with_spans(whole, []).filter(F.size("spans") > 0), "spans")
+    marks = with_terms(found.drop("context").dropDuplicates(["key"]), told_terms(found, whole.select("key", "text")))
+    marks = stored(marks, "marks")
+    sifted = may_be_in(whole, "key", marks)
+    met = sifted.filter("may_be").drop("may_be").join(marks, "key", "left")
+    changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("spans"), F.col("terms")))
+    clean = met.select(ROW, changed.alias("text"))
+    clean = clean.unionByName(sifted.filter("NOT may_be").select(ROW, "text"))
+    columns = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.length("text").cast(kind)
-    return unpacked(clean, docs.columns, **changed)
+        columns["n_chars"] = F.length("text").cast(kind)
+    return unpacked(clean, docs.columns, **columns)
 
 
 def _shown(spans: Column) -> Column:

@@ -1,6 +1,8 @@
 """Operators that look at one text at a time, against plain versions."""
 
+import collections
 import html
+import random
 import re
 
 import duckdb
@@ -267,6 +269,71 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     assert n_terms > 0
 
 
+def test_a_name_goes_in_every_place_however_it_is_written(spark):
+    """In byline, beside the address and in the signature; capitals are the same word, parts of words are not."""
+    text = "Zorblatt Ödegård writes. Write to abc@quux.org or call Zorblatt soon, says Ödegård there. " + "Some lines of text follow here. " * 5
+    text += "Signed ZORBLATT öDEGÅRD"
+    rows = [(0, text)] + [(i, f"Write to the town or call somebody soon, says she there. Some lines of text follow here {i}. Signed Rite") for i in range(1, 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    words = [text[int(s) : int(e)] for kind, s, e in (x.split(":") for x in found[0].split(",")) if kind == "term"]
+    assert words == ["Zorblatt", "Ödegård", "Zorblatt", "Ödegård", "ZORBLATT", "öDEGÅRD"]
+    assert not any(v for d, v in found.items() if d)
+    clean = {r.doc_id: r.text for r in pii.sanitised_documents(docs).collect()}
+    assert "blatt" not in clean[0].lower() and "abc@" not in clean[0] and clean[0].count("Write to <EMAIL>") == 1
+    assert all(clean[d] == t for d, t in rows if d)
+
+
+def test_terms_equal_the_plain_estimate(spark):
+    import math
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(25)] + ["Név", "rare"]
+    mails = ["a@b.org", "c@d.net", "e@f.com"]
+    rows = [(i, " ".join(rng.choice(mails) if rng.random() < 0.03 else rng.choice(words[: rng.choice((5, 27))]) for _ in range(40))) for i in range(120)]
+    rows += [(200 + i, f"x{i} {mails[i % 3]} Solo{i % 3} solo{i % 3} tail") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans, tokens = {}, {}
+    for d, t in rows:
+        spans[d] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(brute.PERSONAL["email"], t)]
+        kept = [(m.start(), m.end()) for m in re.finditer(r"\w+", t) if not any(a < m.end() and m.start() < b for a, b, _ in spans[d])]
+        tokens[d] = [(a, b, t[a:b].lower()) for a, b in kept]
+    every = collections.Counter(w for _, t in rows for w in (x.lower() for x in re.findall(r"\w+", t)))
+    joint = collections.Counter()
+    for d, t in rows:
+        near = set()
+        for a, b, e in spans[d]:
+            left = [w for s, _, w in tokens[d] if s < a][-5:]
+            right = [w for s, _, w in tokens[d] if s >= b][:5]
+            near |= {(e, w) for w in left + right}
+        own = collections.Counter(x.lower() for x in re.findall(r"\w+", t))
+        for e, w in near:
+            joint[e, w] += own[w]
+    holding = collections.Counter(e for d, _ in rows for e in {x[2] for x in spans[d]})
+    told = set()
+    for (e, w), n in joint.items():
+        likely, base = n / (every[w] + 1), holding[e] / len(rows)
+        if likely * math.log(likely / base) / math.log(1 / base) >= pii.DISCLOSURE:
+            told.add((e, w))
+    want = {(d, s, e) for d, _ in rows for s, e, w in tokens[d] if any((x[2], w) in told for x in spans[d])}
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in pii.report(docs).collect() for x in r.spans.split(",") if x.startswith("term:")}
+    assert got == want and want
+
+
+def test_many_addresses_in_one_text_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"word{i} m{i}@n.org" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id bigint, text string")
+        begin = time.time()
+        assert pii.sanitised_documents(docs).filter("doc_id = 1").first().text.count("<EMAIL>") == n
+        return time.time() - begin
+
+    took(100)
+    assert took(8000) < 30  # 170 kB; a square of the number would take minutes
+
+
 def test_personal_data_has_no_python(spark):
     plan = pii.report(read(spark, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,12 +76,26 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     state = {"linked": 0, "in_link": 0}
     stack: list[tuple[str, bool, bool]] = []
+    open_of: Counter[str] = Counter()  # elements on the stack by tag, and those that are aside or main
+    around = [0, 0]
+
+    def push(tag: str, aside: bool, main: bool) -> None:
+        stack.append((tag, aside, main))
+        open_of[tag] += 1
+        around[0] += aside
+        around[1] += main
+
+    def pop() -> str:
+        tag, aside, main = stack.pop()
+        open_of[tag] -= 1
+        around[0] -= aside
+        around[1] -= main
+        return tag
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            side = any(s for _, s, _ in stack)
-            out.append((text, state["linked"], side, any(m for _, _, m in stack)))
+            out.append((text, state["linked"], around[0] > 0, around[1] > 0))
         parts.clear()
         state["linked"] = 0
 
@@ -106,13 +121,13 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag != "span" or found[1] or not _marked(found[3]):
                 if tag == "span" and found[1] and stack and stack[-1][0] == "span":
                     end()
-                    stack.pop()
+                    pop()
                 continue
         end()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if open_of[tag]:
+                while pop() != tag:
+                    pass
             continue
         if tag in VOID:
             continue
@@ -121,10 +136,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             at = close.end() if close else len(page)
             continue
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag:
-            stack.pop()
+            pop()
         elif stack and stack[-1][0] == "p":
-            stack.pop()
-        stack.append((tag, tag in RAW or tag in ASIDE or _marked(found[3]), tag in MAIN))
+            pop()
+        push(tag, tag in RAW or tag in ASIDE or _marked(found[3]), tag in MAIN)
     end()
     return out
 

@@ -58,11 +58,18 @@ def family(name: str) -> str:
     return "cc-by" if low.startswith("cc-by") else "other"
 
 
+def named(token: str, operator: str) -> bool:
+    """Whether a token behind an operator is a licence, or an exception behind ``with``."""
+    low = token.lower()
+    return "exception" in low if operator == "with" else low.startswith("licenseref-") or family(token) != "other"
+
+
 def parse(expression: str) -> list[str]:
     """The expression in postfix order by the shunting-yard method, as far as it can be read.
 
     It ends before the first token that cannot stand where it stands; operators and
-    brackets that are still open then are dropped with what they lack.
+    brackets that are still open then are dropped with what they lack. Behind an operator,
+    a word that is no known licence or exception is prose, as in "MIT and see the rest".
     """
     out: list[str] = []
     waiting: list[str] = []
@@ -90,6 +97,8 @@ def parse(expression: str) -> list[str]:
             waiting.pop()
             depth -= 1
         elif wants_name:
+            if waiting and waiting[-1] in _BINDING and not named(token, waiting[-1]):
+                break
             out.append(token)
             wants_name = False
         else:
@@ -141,11 +150,15 @@ def scan(raw: bytes, machine) -> tuple[int, int, int | None, int | None, set[str
     base: set[str] = set()
     labels: set[str] = set()
     tagged = False
+    at, before = 0, 0  # words before a place, counted on from the last place
     for end, (phrase, size) in machine.iter(line):
         if line[end + 1] != " ":
             continue
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - size))
+            start = end - size
+            before += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+            at = start
+            starts.append(before)
             base.add(BASE[phrase])
         elif phrase in MORE:
             labels.add(MORE[phrase])

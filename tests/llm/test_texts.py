@@ -418,3 +418,32 @@ def test_classifier_edge_cases(spark):
     assert docs.count() == len(quality_crf.report(docs, labels).collect())
     assert all(0 <= r.score <= 1 for r in quality_crf.report(docs, labels.limit(0)).collect())
     assert quality_crf.report(tables.no_docs(spark), labels).collect() == []
+
+
+# ---- time on long inputs ----------------------------------------------------
+
+
+def test_scans_take_time_by_length():
+    import time
+
+    begin = time.time()
+    for text in ("cc by " * 170_000, "mit license cc by gnu general public license " * 22_000):
+        found = licenses.scan(text.encode(), licenses.automaton())
+        assert found[:5] == brute_places(text)
+    for page in ("<div>" * 100_000 + "text", "<div>" * 60_000 + "</p>" * 60_000 + "text", "<nav>" + "<div>a</div>" * 80_000):
+        html_text.main_text(page)
+    assert time.time() - begin < 15
+
+
+def brute_places(text):
+    n, places, first, last, labels = brute.license_places(text, licenses.BASE)
+    return n, places, first, last, set(labels.split(",")) if labels else set()
+
+
+def test_prose_behind_a_licence_is_no_licence():
+    def labels(text):
+        return licenses.scan(text.encode(), licenses.automaton())[5]
+
+    assert labels("SPDX-License-Identifier: MIT and see the rest") == {"mit"}
+    assert labels("SPDX-License-Identifier: MIT or LicenseRef-Own") >= {"mit", "other"}
+    assert labels("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0") == {"mit", "apache", "gpl"}

@@ -1,16 +1,20 @@
 """Hierarchies as node tables.
 
-A node is (path, parent, label, depth, is_leaf). Containment is always an
-equi-join on exploded ancestors, never a prefix test between two tables.
+A node is (path, parent, label, depth, is_leaf). Containment is an equi-join on
+exploded ancestors or an interval of preorder numbers, never a prefix test between
+two tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import paths as P
-from loomlight.operators.ordering import asked_keys, lookup_join
+from loomlight.operators.ordering import KEY, RANGE, asked_keys, before, lookup_join, range_split, with_carry, within
+from loomlight.operators.scans import SIZE, block_scan
 
 MARKER = "package.mo"
 
@@ -110,6 +114,73 @@ def tree_fold(leaves: DataFrame, measure: str, path: str = "path") -> DataFrame:
     return combined(up.unionByName(first), F.col("path"))
 
 
+#: Sorts behind every label.
+LAST = "\U0010ffff"
+
+
+def nested_sets(nodes: DataFrame, measure: str | None = None, ranges: int | None = None) -> DataFrame:
+    """(path, pre, size) of each node: its place in preorder, from 0, and the nodes at and below it.
+
+    A node's subtree are the nodes from ``pre`` to ``pre + size - 1``. Each node is two rows,
+    where it begins and behind all that lies below it, in one running count; so the work is
+    that of the nodes, however deep they lie. With ``measure``, ``total`` is its sum over the
+    subtree, null values counting nothing.
+    """
+    value = F.lit(0).cast("bigint") if measure is None else F.coalesce(F.col(measure), F.lit(0))
+    steps = P.segments(F.col("path"))
+    none = F.lit(0).cast("bigint")
+    begins = nodes.select("path", steps.alias("place"), F.lit(1).cast("bigint").alias("n"), value.alias("m"))
+    ends = nodes.select("path", F.concat(steps, F.array(F.lit(LAST))).alias("place"), none.alias("n"), (value * 0).alias("m"))
+    split = range_split(begins.unionByName(ends), [], ["place"], ranges)
+    sums = split.groupBy(KEY, RANGE).agg(F.sum("n").alias("_n"), F.sum("m").alias("_m"))
+    base = [F.coalesce(F.sum(c).over(before()), F.lit(0)).alias(f"{c}_base") for c in ("_n", "_m")]
+    local = split.select("*", *[F.sum(c).over(within(["place"])).alias(f"_{c}") for c in ("n", "m")])
+    placed = with_carry(local, sums.select(KEY, RANGE, *base))
+    n, m = F.col("_n_base") + F.col("_n"), F.col("_m_base") + F.col("_m")
+    is_begin = F.col("n") == 1
+    both = placed.groupBy("path").agg(
+        F.max(F.when(is_begin, n - 1)).alias("pre"), F.max(F.when(~is_begin, n)).alias("end"),
+        F.max(F.when(is_begin, m - F.col("m"))).alias("before"), F.max(F.when(~is_begin, m)).alias("after"),
+    )
+    total = [] if measure is None else [(F.col("after") - F.col("before")).alias("total")]
+    return both.select("path", "pre", (F.col("end") - F.col("pre")).alias("size"), *total)
+
+
+def affine(factor: Column, addend: Column) -> Column:
+    """The step x -> factor * x + addend of an ordered fold."""
+    return F.struct(factor.alias("factor"), addend.alias("addend"))
+
+
+def affine_then(f: Column, g: Column) -> Column:
+    return affine(f["factor"] * g["factor"], g["factor"] * f["addend"] + g["addend"])
+
+
+def affine_of(x: Column, f: Column) -> Column:
+    return f["factor"] * x + f["addend"]
+
+
+def ordered_fold(
+    nodes: DataFrame, tree: str, step: Column, start: Column, identity: Column | None = None,
+    compose: Callable[[Column, Column], Column] = affine_then, apply: Callable[[Column, Column], Column] = affine_of,
+    size: int = SIZE,
+) -> DataFrame:
+    """(tree, folded): the fold of each tree's nodes in preorder, for operations whose order matters.
+
+    ``nodes`` have the place ``pre`` (:func:`nested_sets`). ``step`` is what a node does to the
+    state, a function that can be composed: affine ones are there (x - v is 1, -v), others come
+    with their own ``identity``, ``compose`` and ``apply``. A tree of any size is folded in
+    blocks over all tasks. Values of ``start`` and of steps should be of one type.
+    """
+    if identity is None:
+        identity = affine(F.lit(1).cast("bigint"), F.lit(0).cast("bigint"))
+    first = nodes.groupBy(tree).agg(F.min("pre").alias("_first"))
+    placed = lookup_join(nodes, first, [tree], row_id=["pre"]).withColumn("_place", F.col("pre") - F.col("_first"))
+    prepare = lambda rows: rows.withColumn("step", step).withColumn("_step", F.col("step"))
+    seen = block_scan(placed, tree, "_place", prepare, identity, compose, start, apply, "state", size)
+    last = F.max_by(F.struct("state", "step"), "pre").alias("last")
+    return seen.groupBy(tree).agg(last).select(tree, apply(F.col("last.state"), F.col("last.step")).alias("folded"))
+
+
 def subtree_prune(nodes: DataFrame, output_dir: str | None = None) -> DataFrame:
     """Drop hidden nodes and output directories together with everything below them."""
     steps = P.segments(F.col("path"))

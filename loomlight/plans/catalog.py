@@ -328,6 +328,22 @@ def subtree_size(spark, sf_dir):
     return trees.subtree_size(page_nodes(spark, sf_dir))
 
 
+@query
+def tree_intervals(spark, sf_dir):
+    """Each node's interval in preorder, and the sum of the depths in it."""
+    return trees.nested_sets(page_nodes(spark, sf_dir), "depth")
+
+
+@query
+def tree_ordered_fold(spark, sf_dir):
+    """The nodes of each site folded in preorder by x -> depth - x, which depends on the order."""
+    nodes = page_nodes(spark, sf_dir)
+    placed = trees.nested_sets(nodes).select("path", "pre").join(nodes.select("path", "depth"), "path")
+    site = F.coalesce(F.get(P.segments(F.col("path")), F.lit(1)), F.lit(""))
+    step = trees.affine(F.lit(-1).cast("bigint"), F.col("depth").cast("bigint"))
+    return trees.ordered_fold(placed.withColumn("site", site), "site", step, F.lit(100).cast("bigint"))
+
+
 @query
 def tree_fold(spark, sf_dir):
     return trees.tree_fold(inputs.page_paths(spark, sf_dir), "n_chars")

@@ -630,6 +630,22 @@ ORACLES: dict[str, str] = {
            GROUP BY path""",
         "page_nodes",
     ),
+    "tree_intervals": with_fragments(
+        """SELECT path, pre, size, total
+           FROM (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS pre FROM page_nodes)
+           JOIN (SELECT array_to_string(s[1:n], '/') AS path, count(*) AS size, CAST(sum(len(s)) AS BIGINT) AS total
+                 FROM (SELECT s, unnest(generate_series(1, len(s))) AS n
+                       FROM (SELECT string_split(path, '/') AS s FROM page_nodes)) GROUP BY ALL) USING (path)""",
+        "page_nodes",
+    ),
+    "tree_ordered_fold": with_fragments(
+        """SELECT site, CAST(100 * (-1) ** max(n) + sum(depth * (-1) ** (n - 1 - i)) AS BIGINT) AS folded
+           FROM (SELECT site, depth, count(*) OVER (PARTITION BY site) AS n,
+                        row_number() OVER (PARTITION BY site ORDER BY s) - 1 AS i
+                 FROM (SELECT string_split(path, '/') AS s, len(string_split(path, '/')) AS depth,
+                              coalesce(string_split(path, '/')[2], '') AS site FROM page_nodes)) GROUP BY site""",
+        "page_nodes",
+    ),
     "tree_fold": with_fragments(
         """SELECT path, CAST(sum(c) AS BIGINT) AS total, min(c) AS low, max(c) AS high, count(*) AS n
            FROM (SELECT array_to_string(s[1:n], '/') AS path, c

@@ -107,3 +107,47 @@ def test_a_marker_in_the_root_makes_it_the_only_package(spark):
         assert rows(trees.files_outside_packages(df)) == []
         libraries = paths(spark, ["lib/z.mo"])
         assert rows(trees.load_order(df, libraries)) == [(0, "lib/z.mo"), (1, lead + "package.mo")]
+
+
+def test_intervals_of_nodes(spark):
+    nodes = trees.path_tree(paths(spark, FILES))
+    for ranges in (1, 4):
+        found = {r.path: r for r in trees.nested_sets(nodes, "depth", ranges).collect()}
+        order = sorted(found, key=lambda p: p.split("/"))
+        for i, path in enumerate(order):
+            below = [p for p in order if p == path or p.startswith(path + "/")]
+            assert (found[path].pre, found[path].size, found[path].total) == (i, len(below), sum(p.count("/") + 1 for p in below))
+
+
+def test_intervals_of_a_deep_tree_take_two_rows_a_node(spark):
+    deep = "/".join(f"d{i}" for i in range(1000))
+    data = [("/".join(deep.split("/")[: i + 1]),) for i in range(1000)]
+    found = trees.nested_sets(spark.createDataFrame(data, "path string"))
+    assert sorted(rows(found, "pre", "size")) == [(i, 1000 - i) for i in range(1000)]
+    plan = found._jdf.queryExecution().toString()
+    assert "explode" not in plan.lower()
+
+
+def test_folds_that_depend_on_the_order(spark):
+    # 5(2(20,30),5,10), written as preorder places; and a long tree of another key
+    values = [5, 2, 20, 30, 5, 10]
+    long = [(7 * i) % 11 - 5 for i in range(900)]
+    data = [("a", i + 40, v) for i, v in enumerate(values)] + [("b", i, v) for i, v in enumerate(long)]
+    nodes = spark.createDataFrame(data, "tree string, pre bigint, v bigint")
+    one = F.lit(1).cast("bigint")
+    minus = trees.ordered_fold(nodes, "tree", trees.affine(one, -F.col("v")), F.lit(100).cast("bigint"), size=16)
+    assert dict(rows(minus)) == {"a": 100 - sum(values), "b": 100 - sum(long)}
+    turned = trees.ordered_fold(nodes, "tree", trees.affine(-one, F.col("v")), F.lit(100).cast("bigint"), size=4)
+    want = {}
+    for key, own in (("a", values), ("b", long)):
+        x = 100
+        for v in own:
+            x = v - x
+        want[key] = x
+    assert dict(rows(turned)) == want
+    # a fold into a list, with steps of its own kind
+    none = F.array().cast("array<bigint>")
+    listed = trees.ordered_fold(
+        nodes.filter("tree = 'a'"), "tree", F.array("v"), none, none, lambda f, g: F.concat(g, f), lambda x, f: F.concat(f, x), 2
+    )
+    assert dict(rows(listed)) == {"a": values[::-1]}

@@ -1,9 +1,9 @@
 """Order-dependent helpers that never hold one whole group in one task.
 
-A window over a hot key is one task. Here the rows are range partitioned by
-``keys + order`` instead, so a hot key spreads over many ranges; each range is
-scanned on its own and what it must know of the ranges before it arrives as one
-small row per (key, range).
+A window over a hot key is one task. Here the rows of a key are split in ranges of
+``order`` instead, so a hot key spreads over many tasks; each range is scanned on
+its own and what it must know of the ranges before it arrives as one small row per
+(key, range).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from loomlight.session import cut
 
@@ -23,19 +24,55 @@ KEY = "_key"
 def range_split(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """Range partition by ``keys + order`` and number the ranges in that order.
-
-    The result is cut, as range bounds are sampled and must not be drawn twice.
-    ``order`` should end in a unique column so that ties cannot pile up in one range.
-    ``_key`` holds the keys as one struct: it is never null itself, so windows and
-    joins on it see null keys as equal and share one shuffle.
+    """Number ranges of ``order`` for the rows of each key: ``_range``, and ``_key`` with the keys as one struct.
+
+    Where the first order column is a number or a time, ranges lie between its quantiles over
+    all rows, and the range is an expression of the row: nothing is written, and windows by
+    key and range are the one shuffle of the rows. Otherwise the rows are range partitioned by
+    keys and order and the result is cut, as such bounds are sampled and must not be drawn
+    twice. ``order`` should end in a unique column so that ties cannot pile up in one range.
+    ``_key`` is never null itself, so windows and joins on it see null keys as equal.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = df.repartitionByRange(ranges, *[F.col(c) for c in [*keys, *order]])
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    value = _quantity(df, order[0])
+    if value is not None:
+        return df.withColumn(KEY, key).withColumn(RANGE, _between(value, _bounds(df, value, ranges)))
+    split = df.repartitionByRange(ranges, *[F.col(c) for c in [*keys, *order]])
     return cut(split.withColumn(KEY, key).withColumn(RANGE, F.spark_partition_id()))
 
 
+def _quantity(df: DataFrame, column: str) -> Column | None:
+    """A number in the order of the column, if it is a number or a time."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, NumericType):
+        return F.col(column)
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return None
+
+
+def _bounds(df: DataFrame, value: Column, ranges: int) -> list:
+    """At most ``ranges - 1`` quantiles of the value, without repeats."""
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(value, shares, 50 * ranges)).first()[0]
+    return sorted(set(found or []))
+
+
+def _between(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are below the value, by bisection; 0 where it is null."""
+
+    def half(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= F.lit(bounds[middle]), half(low, middle)).otherwise(half(middle + 1, high))
+
+    return F.when(value.isNull(), 0).otherwise(half(0, len(bounds)))
+
+
 def within(order: Sequence[str], last: int = W.currentRow):
     """Window inside one range of one key, from its start to the current row."""
     return W.partitionBy(KEY, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, last)

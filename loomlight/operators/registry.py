@@ -24,6 +24,7 @@ from loomlight.operators.ordering import (
     with_carry,
     within,
 )
+from loomlight.session import cut
 
 ORDER = ("ts", "event_id")
 
@@ -90,7 +91,7 @@ def registry_refcount(
     ranges: int | None = None,
 ) -> DataFrame:
     """Clients of the key and of all keys after each call."""
-    counted = count_scan(calls, key, order, initial, ranges)
+    counted = cut(count_scan(calls, key, order, initial, ranges))
     return with_total(counted, order, clients_before, ranges)
 
 

@@ -75,8 +75,8 @@ def numbered(said: DataFrame) -> DataFrame:
     """``said`` with the dictionary number of each turn in place of its digest, and its place in the conversation."""
     words = said.select("digest").distinct().withColumn("id", F.monotonically_increasing_id())
     words = stored(words, "turns")  # the numbers are fixed from here on
-    known = lookup_join(said, words, ["digest"], row_id=["c", "turn", "tie"]).drop("digest")
-    return group_positions(known, ["c"], ["turn", "tie"], "pos")
+    known = stored(lookup_join(said, words, ["digest"], row_id=["c", "turn", "tie"]).drop("digest"), "numbered")
+    return stored(group_positions(known, ["c"], ["turn", "tie"], "pos"), "placed")
 
 
 def taken() -> F.Column:

@@ -233,18 +233,17 @@ def occurrences(docs: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
     return maybe_in(said, "h", asked.select(F.xxhash64(*on).alias("h"))).drop("h")
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing(found: DataFrame, holding: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, share): terms that disclose at least DISCLOSURE of the entity.
 
-    ``found`` has a key, the spans and the context of each row that has spans, ``docs`` the
-    key and the text of all. Rows of one key count once for the entities and the terms near
-    them, and as often as they stand there for all else.
+    ``found`` has a key, the spans and the context of each row that has spans, ``holding`` the
+    key and the text of these, ``docs`` those of all. Rows of one key count once for the
+    entities and the terms near them, and as often as they stand there for all else.
     """
     pairs = stored(found.select("key", F.explode("context").alias("c")).select("key", "c.entity", "c.term").distinct(), "pairs")
     asked = pairs.select("key", "term").distinct()
-    holding = docs.join(found.select("key"), "key", "left_semi").dropDuplicates(["key"])
     times = occurrences(holding, asked, ["key", "term"]).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
-    joint = pairs.join(times, ["key", "term"]).groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    joint = stored(pairs.join(times, ["key", "term"]).groupBy("entity", "term").agg(F.sum("n").alias("n")), "joint")
     entity = F.explode(F.array_distinct(F.transform("spans", _entity)))
     of_entity = found.select("key", entity.alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     spoken = F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(TERM), 0)
@@ -282,9 +281,10 @@ def with_spans(keyed: DataFrame, carry: list[str]) -> DataFrame:
 
 def told_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, terms) of the rows that have disclosing terms: each place of such a term in a text that holds its entity."""
-    rows = found.filter(F.size("spans") > 0).select("key", "spans", "context").dropDuplicates(["key"])
-    told = stored(disclosing(rows, docs), "disclosing")
-    holding = docs.join(rows.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    rows = stored(found.filter(F.size("spans") > 0).select("key", "spans", "context").dropDuplicates(["key"]), "rows")
+    holding = maybe_in(docs, "key", rows).join(rows.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    holding = stored(holding, "holding")
+    told = stored(disclosing(rows, holding, docs), "disclosing")
     places = occurrences(holding, told, ["term"]).join(told, "term")
     held = rows.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
     hits = places.join(held, ["key", "entity"], "left_semi").groupBy("key", "s", "e").agg(F.max("share").alias("share"))

@@ -3,10 +3,16 @@
 Every measure of a document is a whole number. Its distribution in a group is kept as a
 quantile sketch: counts of values cut to their two leading digits. Such sketches merge by
 adding counts, need at most ninety counters for each power of ten, and give quantiles that
-are at most a tenth too low. Fences are quartiles of the sketch moved outwards by three
+are at most a tenth too low. Fences are quartiles of the sketch moved outwards by four
 interquartile ranges. A group with few documents takes the merged sketch of its language,
 and a small language that of the whole corpus.
 
+The measures are such as differ between all documents, so that the spread of a group, and
+not a fixed number, says where its fence stands: punctuation for the characters, sameness
+(how far the distinct words fall short of the words, on a log scale) and stutters. Repeated
+lines are rare, so their sketch holds only the documents that have any. Documents that fail the
+base rule go anyhow and are not in the sketches.
+
 All of it is DataFrame expressions. Measures are written once; the thresholds, one row for
 each group and measure, are written too, so Spark knows their size when it plans the join.
 """
@@ -21,19 +27,26 @@ from loomlight.llm.frames import ROW, packed, pick, unpacked
 from loomlight.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+#: All but the punctuation of ASCII.
+PLAIN = r"[^!-/:-@\[-`{-~]+"
 RUN = 8
 
-#: measure -> (least interquartile range, whether low values are fenced off too)
+#: measure -> (least interquartile range, for groups of equal values; whether low values are
+#: fenced off too; whether only documents with a value above zero are in the sketch)
 MEASURES = {
-    "symbols": (50, False),
-    "dup_lines": (150, False),
-    "repeats": (100, False),
-    "stutters": (30, False),
-    "word_length": (60, True),
+    "punctuation": (5, False, False),
+    "dup_lines": (20, False, True),
+    "sameness": (5, False, False),
+    "stutters": (3, False, False),
+    "word_length": (20, True, False),
 }
+TWO_SIDED = [k for k, (_, both, _) in MEASURES.items() if both]
+SPARSE = [k for k, (_, _, sparse) in MEASURES.items() if sparse]
+#: Added to the words, characters and lines that counts are set against, so that one event
+#: in a short text is no high rate.
+PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 100, 200, 10
 #: Interquartile ranges between a quartile and its fence.
-REACH = 3
+REACH = 4
 #: Documents below which a group takes the sketch of a larger one.
 LEAST_GROUP = 50
 
@@ -85,42 +98,55 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
                 lambda h: F.struct(
                     repeated_words(h).alias("repeat"),
                     F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False)))).alias("stutter"),
+                    F.size(F.array_distinct(h)).alias("distinct"),
                 ),
             ).alias("again"),
         ),
     )
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
+    marks = F.length(F.regexp_replace(text, PLAIN, ""))
     counted = docs.select(
         *carry, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-        of_words.alias("w"), of_lines.alias("l"), symbols.cast("bigint").alias("n_symbols"),
+        of_words.alias("w"), of_lines.alias("l"), symbols.cast("bigint").alias("n_symbols"), marks.cast("bigint").alias("n_marks"),
     )
     return counted.select(
         *carry, "lang", "source", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"),
         "n_symbols", F.col("l.dup").cast("bigint").alias("n_dup_lines"),
         F.col("w.again.repeat").alias("n_repeat_words"), F.col("l.n").cast("bigint").alias("n_lines"),
         F.col("w.again.stutter").cast("bigint").alias("n_stutters"),
+        F.col("w.again.distinct").cast("bigint").alias("n_distinct"), "n_marks",
     )
 
 
+def failed() -> Column:
+    """The base rule: too few words, or too many of them in runs that repeat."""
+    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
 def rates() -> dict[str, Column]:
     """The measures, as whole numbers: thousandths, and hundredths of a character."""
-    share = lambda a, b, of: F.floor(F.col(a) * of / F.greatest(F.col(b), F.lit(1))).cast("bigint")
+    share = lambda a, b, prior: F.floor(F.col(a) * 1000 / (F.col(b) + prior)).cast("bigint")
+    variety = F.ln(F.col("n_distinct") + 1.0) / F.ln(F.col("n_words") + 2.0)
     return {
-        "symbols": share("n_symbols", "n_words", 1000),
-        "dup_lines": share("n_dup_lines", "n_lines", 1000),
-        "repeats": share("n_repeat_words", "n_words", 1000),
-        "stutters": share("n_stutters", "n_words", 1000),
-        "word_length": share("word_chars", "n_words", 100),
+        "punctuation": share("n_marks", "word_chars", PRIOR_CHARS),
+        "dup_lines": share("n_dup_lines", "n_lines", PRIOR_LINES),
+        "sameness": F.lit(1000) - F.floor(variety * 1000 + 1e-6).cast("bigint"),
+        "stutters": share("n_stutters", "n_words", PRIOR_WORDS),
+        "word_length": F.floor(F.col("word_chars") * 100 / F.greatest(F.col("n_words"), F.lit(1))).cast("bigint"),
     }
 
 
 def thresholds(counted: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, low, high): for each group the fences of each measure, as structs of longs."""
+    """(lang, source, hi_<measure>, lo_<measure>): the fences of each group that has rows above the base rule.
+
+    A measure whose quartiles are equal takes its least interquartile range. In a group with
+    no rows that count for a measure, and none in its language or anywhere, the quartiles are 0.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in rates().items()]))
-    values = counted.select("lang", "source", each.alias("m")).select("lang", "source", "m.measure", "m.v")
+    values = counted.filter(~failed()).select("lang", "source", each.alias("m")).select("lang", "source", "m.measure", "m.v")
     unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("v").cast("string")) - 2, F.lit(0))).cast("bigint")
     sketch = values.groupBy("lang", "source", "measure", (F.col("v") - F.col("v") % unit).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.sum(F.when(F.col("measure").isin(SPARSE) & (F.col("v") == 0), 0).otherwise(1)).alias("n")
     )
     sketch = stored(sketch, "sketch")
 
@@ -144,7 +170,7 @@ def thresholds(counted: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     )
     enough = lambda c: F.col(c)["n"] >= least_group
     chosen = F.when(enough("own"), F.col("own")).when(enough("of_lang"), F.col("of_lang")).otherwise(F.col("of_all"))
-    slack = F.create_map(*[F.lit(x) for k, (least, _) in MEASURES.items() for x in (k, least)])
+    slack = F.create_map(*[F.lit(x) for k, (least, _, _) in MEASURES.items() for x in (k, least)])
     spread = F.greatest(F.col("q")["q3"] - F.col("q")["q1"], slack[F.col("measure")]) * REACH
     fenced = wider.select(
         "lang", "source", "measure", chosen.alias("q")
@@ -152,7 +178,7 @@ def thresholds(counted: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     at = lambda c, k: F.max(F.when(F.col("measure") == k, F.col(c)))
     return fenced.groupBy("lang", "source").agg(
         *[at("hi", k).alias(f"hi_{k}") for k in MEASURES],
-        *[at("lo", k).alias(f"lo_{k}") for k, (_, both) in MEASURES.items() if both],
+        *[at("lo", k).alias(f"lo_{k}") for k in TWO_SIDED],
     )
 
 
@@ -162,7 +188,8 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     ``base_failed``: fewer than 20 words, or more than 30 of 100 words in runs of eight
     that repeat. ``outside`` lists the measures beyond their group's fences. A row is
     ``kept`` if neither holds. A null text has no words; a null language or source is
-    the group with an empty name; repeated rows count as often as they stand there.
+    the group with an empty name; repeated rows count as often as they stand there. Values that
+    tie with a fence are inside. Texts have any length; an empty table has no rows.
     """
     counted = stored(measured(docs, carry), "measures")
     return verdicts(counted, stored(thresholds(counted), "thresholds"), carry)
@@ -173,14 +200,13 @@ def verdicts(counted: DataFrame, fences: DataFrame, carry: list[str]) -> DataFra
     beyond = []
     for k, value in rates().items():
         out = value > F.col(f"hi_{k}")
-        if MEASURES[k][1]:
+        if k in TWO_SIDED:
             out = out | (value < F.col(f"lo_{k}"))
         beyond.append(F.when(out, F.lit(k)))
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    out = counted.join(fences, ["lang", "source"])
+    out = counted.join(fences, ["lang", "source"], "left")
     return out.select(
         *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.array_compact(F.array(*beyond)).alias("outside"),
+        failed().alias("base_failed"), F.array_compact(F.array(*beyond)).alias("outside"),
     ).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
 
 
@@ -206,15 +232,15 @@ def oracle() -> str:
     values = ", ".join(
         f"('{k}', {e})"
         for k, e in {
-            "symbols": "n_symbols * 1000 // greatest(n_words, 1)",
-            "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-            "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)",
-            "stutters": "n_stutters * 1000 // greatest(n_words, 1)",
+            "punctuation": f"n_marks * 1000 // (word_chars + {PRIOR_CHARS})",
+            "dup_lines": f"n_dup_lines * 1000 // (n_lines + {PRIOR_LINES})",
+            "sameness": "1000 - floor(ln(n_distinct + 1.0) / ln(n_words + 2.0) * 1000 + 1e-6)::BIGINT",
+            "stutters": f"n_stutters * 1000 // (n_words + {PRIOR_WORDS})",
             "word_length": "word_chars * 100 // greatest(n_words, 1)",
         }.items()
     )
-    slack = " ".join(f"WHEN '{k}' THEN {least}" for k, (least, _) in MEASURES.items())
-    two_sided = ", ".join(f"'{k}'" for k, (_, both) in MEASURES.items() if both)
+    slack = " ".join(f"WHEN '{k}' THEN {least}" for k, (least, _, _) in MEASURES.items())
+    two_sided, sparse = (", ".join(f"'{k}'" for k in ks) for ks in (TWO_SIDED, SPARSE))
     return rf"""
 WITH split AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -227,7 +253,8 @@ WITH split AS (
 ), words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split
 ), stutters AS (
-  SELECT doc_id, count(*) FILTER (word = before) AS n_stutters, sum(length(word)) AS word_chars
+  SELECT doc_id, count(*) FILTER (word = before) AS n_stutters, count(DISTINCT word) AS n_distinct,
+    sum(length(word)) AS word_chars
   FROM (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words) GROUP BY doc_id
 ), windows AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s
@@ -242,13 +269,16 @@ WITH split AS (
     coalesce(word_chars, 0)::BIGINT AS word_chars,
     length(regexp_replace(s.t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(n_lines, 0) AS n_lines, coalesce(n_stutters, 0) AS n_stutters
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_stutters, 0) AS n_stutters, coalesce(n_distinct, 0) AS n_distinct,
+    length(regexp_replace(s.t, '{PLAIN}', '', 'g'))::BIGINT AS n_marks
   FROM split s LEFT JOIN lines USING (doc_id) LEFT JOIN stutters USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ), valued AS (
   SELECT doc_id, lang, source, m.measure, m.v
   FROM counted, LATERAL (VALUES {values}) AS m(measure, v)
+  WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
 ), sketch AS (
-  SELECT lang, source, measure, v - v % (10 ** greatest(length(v::VARCHAR) - 2, 0))::BIGINT AS v, count(*) AS n
+  SELECT lang, source, measure, v - v % (10 ** greatest(length(v::VARCHAR) - 2, 0))::BIGINT AS v,
+    count(*) FILTER (NOT (v = 0 AND measure IN ({sparse}))) AS n
   FROM valued GROUP BY ALL
 ), levels AS (
   SELECT 1 AS level, lang, source, measure, v, n FROM sketch
@@ -278,6 +308,6 @@ WITH split AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT out AS kept
-FROM counted JOIN outside USING (doc_id)
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(out, false) AS kept
+FROM counted LEFT JOIN outside USING (doc_id)
 """

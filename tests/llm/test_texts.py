@@ -70,6 +70,23 @@ def test_quality_rules_keep_the_clean_and_drop_the_bad(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_fences_follow_the_noise_of_their_group(spark):
+    draw = random.Random(7)
+
+    def text(marked):
+        return " ".join(f"word{draw.randrange(900)}" + ("," if draw.random() < marked else "") for _ in range(120))
+
+    rows = [(i, text(0.08), "xx", "calm") for i in range(60)] + [(100 + i, text(0.7), "xx", "loud") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (999, text(0.7), "xx", "calm")], "doc_id long, text string, lang string, source string")
+    fences = {r.source: r for r in quality_rules.thresholds(quality_rules.measured(docs, [])).collect()}
+    assert fences["loud"].hi_punctuation > 2 * fences["calm"].hi_punctuation
+    kept = {r.doc_id: r.kept for r in quality_rules.report(docs).collect()}
+    assert not kept.pop(999) and all(kept.values())  # usual in one group, far outside in the other
+    fences = quality_rules.thresholds(quality_rules.measured(read(spark, "documents", MIDDLE), []))
+    for k in ("punctuation", "sameness", "stutters", "word_length"):
+        assert fences.select(f"hi_{k}").distinct().count() > 1
+
+
 def test_quality_rules_have_no_python(spark):
     plan = quality_rules.report(read(spark, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

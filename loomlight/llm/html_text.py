@@ -2,9 +2,11 @@
 
 First each block is judged on its own: by the element it is in, by its share of link
 text, its share of stop words and its length. An article element speaks for a block, but
-does not decide alone. Blocks that are too short to tell, and those of few links in a
-language without known stop words, stay open. Then each open block takes the label of the nearest decided blocks: that of both
-neighbours if they agree, else that of the nearer one, the main text on a tie.
+does not decide alone, and so does a class name that only in part sounds like a menu or
+notice (``social-history``) speak against it. Blocks that are too short to tell, and those of
+few links in a language without known stop words, stay open. Then each open block takes the
+label of the nearest decided blocks: that of both neighbours if they agree, else that of the
+nearer one, the main text on a tie.
 
 A page is one row, and pages are independent, so the work is one pass without a shuffle.
 """
@@ -37,6 +39,13 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar comment "
     "comments respond reply replies disqus pagination pager".split()
 )
+#: Words beside a mark that leave its meaning as it is, those that make a head the article's own, and such heads.
+LAYOUT = frozenset(
+    "site page top bottom left right main global box bar block area wrap wrapper container inner outer section list item "
+    "items link links button buttons slot unit row col widget body text content form policy message overlay".split()
+)
+OWN = frozenset("article post entry story title headline chapter section content".split())
+HEADS = frozenset("header masthead banner".split())
 STOP_WORDS = frozenset(
     "the of and to a in is it that was for on with as be by at this are or from an not you have he she they we "
     "le la les de des du un une et est en que qui dans pour sur au aux pas par ce il elle ne se avec "
@@ -62,40 +71,53 @@ _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas")}
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role say that an element is beside the article, and whether they may say so.
+
+    They say so by a name made of marks and layout words (``cookie-box``) or ending in a mark
+    (``post-comments``). Other names with a mark (``social-history``) may, but those of the
+    article's own head (``article-header``) do not.
+    """
+    says = may = False
     for found in _MARKED.finditer(attributes):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        if not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            marks = MARKS.intersection(words)
+            if not marks or (marks <= HEADS and not OWN.isdisjoint(words)):
+                continue
+            if words[-1] in MARKS or all(w in MARKS or w in LAYOUT for w in words):
+                says = True
+            else:
+                may = True
+    return says, may
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The blocks of a page with text: (text, characters in links, in a side element, in the article)."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """The blocks of a page with text: (text, characters in links, in a side element, in what may be one, in the article)."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     state = {"linked": 0, "in_link": 0}
-    stack: list[tuple[str, bool, bool]] = []
-    open_of: Counter[str] = Counter()  # elements on the stack by tag, and those that are aside or main
-    around = [0, 0]
+    stack: list[tuple[str, tuple[bool, bool, bool]]] = []
+    open_of: Counter[str] = Counter()  # elements on the stack by tag, and those that are, may be aside, or are main
+    around = [0, 0, 0]
 
-    def push(tag: str, aside: bool, main: bool) -> None:
-        stack.append((tag, aside, main))
+    def push(tag: str, kinds: tuple[bool, bool, bool]) -> None:
+        stack.append((tag, kinds))
         open_of[tag] += 1
-        around[0] += aside
-        around[1] += main
+        for i, x in enumerate(kinds):
+            around[i] += x
 
     def pop() -> str:
-        tag, aside, main = stack.pop()
+        tag, kinds = stack.pop()
         open_of[tag] -= 1
-        around[0] -= aside
-        around[1] -= main
+        for i, x in enumerate(kinds):
+            around[i] -= x
         return tag
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, state["linked"], around[0] > 0, around[1] > 0))
+            out.append((text, state["linked"], around[0] > 0, around[1] > 0, around[2] > 0))
         parts.clear()
         state["linked"] = 0
 
@@ -118,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 state["in_link"] = 0 if found[1] else 1
             elif tag == "br":
                 parts.append(" ")
-            if tag != "span" or found[1] or not _marked(found[3]):
+            if tag != "span" or found[1] or not _marked(found[3])[0]:
                 if tag == "span" and found[1] and stack and stack[-1][0] == "span":
                     end()
                     pop()
@@ -139,21 +161,23 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             pop()
         elif stack and stack[-1][0] == "p":
             pop()
-        push(tag, tag in RAW or tag in ASIDE or _marked(found[3]), tag in MAIN)
+        says, may = _marked(found[3])
+        push(tag, (says or tag in RAW or tag in ASIDE, may, tag in MAIN))
     end()
     return out
 
 
-def judge(found: list[tuple[str, int, bool, bool]]) -> list[bool | None]:
+def judge(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool | None]:
     """First pass: True for main text, False for what is not, None where the block alone does not say."""
     out: list[bool | None] = []
-    for text, linked, side, main in found:
+    for text, linked, side, doubtful, main in found:
         size = len(text)
         words = text.lower().split()
         common = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        main = main and not doubtful
         if main:
             common += BONUS if linked <= FEW_LINKS * size else LINKED_BONUS
-        if side or linked > LINKED * size:
+        if side or linked > (FEW_LINKS if doubtful else LINKED) * size:
             out.append(False)
         elif size < SHORT:
             out.append(None if main and linked else True if main else False if linked else None)
@@ -164,7 +188,7 @@ def judge(found: list[tuple[str, int, bool, bool]]) -> list[bool | None]:
         else:
             out.append(False)
     if True not in out:  # a page in a language without stop words: its long blocks of few links
-        for i, (text, linked, _, _) in enumerate(found):
+        for i, (text, linked, *_) in enumerate(found):
             if out[i] is None and len(text) >= SHORT and linked <= FEW_LINKS * len(text):
                 out[i] = True
     return out

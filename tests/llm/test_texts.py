@@ -186,6 +186,10 @@ PROSE = "This is the story of a man who was in the town and had not been to the
         ("no markup at all", ""),
         (f"<p>{PROSE}</p>", PROSE),
         (f"<div class='cookie-notice'>{PROSE}</div><p>{PROSE}</p>", PROSE),
+        (f"<div class='site-header top'>{PROSE}</div><div id=post-comments><p>{PROSE}</p></div><p>{PROSE} x</p>", f"{PROSE} x"),
+        (f"<nav>menu</nav><div class='article-header'><h1>Head</h1></div><p>{PROSE}</p>", f"Head\n{PROSE}"),
+        (f"<article class='social-history'><h1>Head</h1><p>{PROSE}</p></article>", f"Head\n{PROSE}"),
+        (f"<p>{PROSE}</p><div class='related-stories'><p><a>One more to read</a> of these</p></div>", PROSE),
         (f"<p>{PROSE}</p><p>short one</p><p>{PROSE}</p>", f"{PROSE}\nshort one\n{PROSE}"),
         (f"<p>{PROSE}</p><p><a href=x>more links</a></p>", PROSE),
         ("<article><p>A &lt;b&gt; &amp; c&nbsp;d<br>e</p><section id=comments><p>me too</p></section></article>", "A <b> & c d e"),

@@ -27,8 +27,8 @@ from loomlight.llm.frames import ROW, packed, pick, unpacked
 from loomlight.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: All but the punctuation of ASCII.
-PLAIN = r"[^!-/:-@\[-`{-~]+"
+#: All but the punctuation of ASCII, in Java's words (twenty times as fast as ranges) and as ranges.
+PLAIN, PLAIN_RANGES = r"\P{Punct}+", r"[^!-/:-@\[-`{-~]+"
 RUN = 8
 
 #: measure -> (least interquartile range, for groups of equal values; whether low values are
@@ -270,7 +270,7 @@ WITH split AS (
     length(regexp_replace(s.t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_stutters, 0) AS n_stutters, coalesce(n_distinct, 0) AS n_distinct,
-    length(regexp_replace(s.t, '{PLAIN}', '', 'g'))::BIGINT AS n_marks
+    length(regexp_replace(s.t, '{PLAIN_RANGES}', '', 'g'))::BIGINT AS n_marks
   FROM split s LEFT JOIN lines USING (doc_id) LEFT JOIN stutters USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ), valued AS (
   SELECT doc_id, lang, source, m.measure, m.v

@@ -50,6 +50,16 @@ NO_CODE = (
 COMMENT_TOKENS = r'(?s)"(?:[^"\\]|\\.)*+"|/\*.*?\*/|//[^\n]*|[^/"]+|[/"]'
 
 
+def lines(text: Column) -> Column:
+    """The lines of a text as an array; see :func:`loomlight.operators.corpus.corpus_lines`."""
+    pieces = F.split(text, "\n")
+    pieces = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    without_return = lambda raw: F.when(
+        F.endswith(raw, F.lit("\r")), F.substring(raw, F.lit(1), F.length(raw) - 1)
+    ).otherwise(raw)
+    return F.transform(pieces, without_return)
+
+
 def matched(column: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, or null where there is no match or it is empty."""
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))

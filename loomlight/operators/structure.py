@@ -5,14 +5,22 @@ comment, and whether a class word, a class name or ``end`` still waits for what
 The function of a line has one entry for each such state. A second scan carries the names of
 the open classes; what a line does to them is some names taken off and some put on. Both run
 in blocks (:func:`loomlight.operators.scans.block_scan`), so a huge file is no single task.
+
+A file of at most one block begins in a known state, so its lines need no functions: given as
+a text, it is read through in its own row (:func:`nested_texts`), and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as T
+from loomlight.operators.ordering import partitions
 from loomlight.operators.scans import SIZE, block_scan
 from loomlight.session import stored
 
@@ -26,6 +34,9 @@ LEADS = {
 #: What a blank line does, and one of plain code up to a semicolon.
 BLANK = ["C", "CK\x01", "CN", "CE", "S", "B", "BK\x01", "BN", "BE"]
 PLAIN = ["C", "C", "C", "C", "S", "B", "BK\x01", "BN", "BE"]
+#: What begins a string, a quoted name or a comment.
+SIGNS = ['"', "'", "/*", "//"]
+OPENING_WORDS = "model class package function record block connector type operator \x01".split(" ")
 AWAITS_NAME = rf"{T.LEAD}({T.OPENING_WORD})(?:\s+extends)?\s*\z"
 AWAITS_EQUALS = rf"{T.LEAD}{T.OPENING_WORD}\s+(?:extends\s+)?{T.NAME}\s*\z"
 AWAITS_END = rf"{T.LEAD}end\s*\z"
@@ -35,24 +46,46 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _holds(text: Column, parts: list[str]) -> Column:
+    """Whether any of the parts stands in the text; a look at plain signs saves most lines the patterns."""
+    return reduce(or_, [F.contains(text, F.lit(part)) for part in parts])
+
+
 def _code(text: Column) -> Column:
     """A text with a lone quote for each string and blanks for comments; only an open one leaves its sign at the end."""
-    return F.regexp_replace(text, T.NO_CODE, "$1$2 $3$4")
+    bare = lambda t: F.when(_holds(t, SIGNS), F.regexp_replace(t, T.NO_CODE, "$1$2 $3$4")).otherwise(t)
+    return _with(text, bare)
 
 
 def _body(code: Column) -> Column:
-    return F.regexp_replace(code, r'(?:"|/\*)\z', "")
+    n_signs = F.when(F.endswith(code, F.lit('"')), 1).when(F.endswith(code, F.lit("/*")), 2).otherwise(0)
+    return F.substring(code, F.lit(1), F.length(code) - n_signs)
 
 
 def _waits(body: Column) -> Column:
     """What the end of a code text waits for: K and a class word, N, E or nothing."""
-    word = F.regexp_extract(body, AWAITS_NAME, 1)
-    return (
-        F.when(word != "", F.concat(F.lit("K"), word))
-        .when(body.rlike(AWAITS_EQUALS), "N")
-        .when(body.rlike(AWAITS_END), "E")
-        .otherwise("")
-    )
+
+    def waits(text: Column) -> Column:
+        opens = F.when(_holds(text, OPENING_WORDS), F.regexp_extract(text, AWAITS_NAME, 1))
+        ends = F.when(F.contains(text, F.lit("end")) & text.rlike(AWAITS_END), "E").otherwise("")
+        named = lambda word: (
+            F.when(word != "", F.concat(F.lit("K"), word)).when(word.isNotNull() & text.rlike(AWAITS_EQUALS), "N").otherwise(ends)
+        )
+        return _with(opens, named)
+
+    return _with(body, waits)
+
+
+def _trimmed(line: Column) -> Column:
+    return F.rtrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+def _kind(line: Column) -> Column:
+    """Most lines end in a semicolon or hold no string or comment, and need no look at their signs."""
+    trimmed = _trimmed(line)
+    mixed = _holds(line, [*SIGNS, "*/"])
+    kinds = F.when(trimmed == "", "blank").when(mixed, "mixed")
+    return kinds.when(F.endswith(trimmed, F.lit(";")), "plain").otherwise("code")
 
 
 def _after(code: Column, lead: Column) -> Column:
@@ -70,15 +103,9 @@ def _entry(state: Column, function: Column) -> Column:
 
 
 def line_functions(lines: DataFrame) -> DataFrame:
-    """Add ``_step``: for each state in which a line may begin, the one in which the next line begins.
-
-    Most lines end in a semicolon or hold no string or comment, and need no look from all states.
-    """
+    """Add ``_step``: for each state in which a line may begin, the one in which the next line begins."""
     line = F.col("line")
-    trimmed = F.regexp_replace(line, r"\s+\z", "")
-    kinds = F.when(trimmed == "", "blank").when(line.rlike(r"""["']|/\*|\*/|//"""), "mixed")
-    kinds = kinds.when(F.endswith(trimmed, F.lit(";")), "plain").otherwise("code")
-    seen = lines.withColumn("_kind", kinds)
+    seen = lines.withColumn("_kind", _kind(line))
     mixed = F.col("_kind") == "mixed"
     for name, lead in (("_in_code", ""), ("_in_text", '"'), ("_in_remark", "/*")):
         seen = seen.withColumn(name, F.when(mixed, _code(F.concat(F.lit(lead), "line"))))
@@ -101,9 +128,37 @@ def line_functions(lines: DataFrame) -> DataFrame:
     return seen.withColumn("_step", step).drop("_kind", "_in_code", "_in_text", "_in_remark", "_own")
 
 
+def _unmarked(text: Column) -> Column:
+    return F.when(_holds(text, ["\x01", "\x02"]), F.translate(text, "\x01\x02", "  ")).otherwise(text)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _state_after(state: Column, line: Column) -> Column:
+    """The state behind a line that begins in a known state; :func:`line_functions` for one state."""
+    in_code = F.startswith(state, F.lit("C"))
+    second = F.substring(state, 2, 1)
+    begun = F.when(in_code, "").when(state == "S", '"').otherwise("/*")
+    lead = F.when(second == "K", "\x01 ").when(second == "N", "\x01 \x02 ").when(second == "E", "end ").otherwise("")
+    mixed = _with(_code(F.concat(begun, line)), lambda code: _after(code, lead))
+    plain = F.concat(F.lit("C"), _waits(F.when(second == "K", F.concat(F.lit("\x01 "), line)).otherwise(line)))
+    named = lambda after: F.replace(after, F.lit("\x01"), F.substring(state, 3, 99))
+    trimmed = _trimmed(line)
+    return (
+        F.when(trimmed == "", state)
+        .when(_holds(line, [*SIGNS, "*/"]), named(mixed))
+        .when(~in_code, state)
+        .when(F.endswith(trimmed, F.lit(";")), "C")
+        .otherwise(named(plain))
+    )
+
+
 def line_states(lines: DataFrame, size: int = SIZE) -> DataFrame:
     """(file, line_no, line) with the ``state`` at the start of each line."""
-    clean = lines.select("file", "line_no", F.translate("line", "\x01\x02", "  ").alias("line"))
+    clean = lines.select("file", "line_no", _unmarked(F.col("line")).alias("line"))
     return block_scan(
         clean, "file", "line_no", line_functions, _strings(BLANK),
         lambda f, g: F.transform(f, lambda state: _entry(state, g)), F.lit("C"), _entry, "state", size,
@@ -111,16 +166,15 @@ def line_states(lines: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 NO_EVENTS = "array<struct<kind:string,restriction:string,name:string>>"
-MAY_HOLD_EVENTS = r"model|class|package|function|record|block|connector|type|operator|end|within"
+MAY_HOLD_EVENTS = [*OPENING_WORDS, "end", "within"]
 
 
-def with_events(states: DataFrame) -> DataFrame:
-    """Add ``events``: what a line opens, ends and names, as (kind, restriction, name) in order."""
-    state = F.col("state")
+def _events(line: Column, state: Column) -> Column:
+    """What a line opens, ends and names, as (kind, restriction, name) in order."""
     place = F.array_position(_strings(LEADS), F.substring(state, 1, 2)).cast("int")
-    may = F.col("line").rlike(MAY_HOLD_EVENTS) | (F.length(state) > 1)
-    text = F.when(may, F.concat(F.element_at(_strings(LEADS.values()), place), F.col("line")))
-    found = F.regexp_extract_all(_body(_code(text)), F.lit(T.EVENT), F.lit(0))
+    may = _holds(line, MAY_HOLD_EVENTS) | (F.length(state) > 1)
+    text = F.when(may, F.concat(F.element_at(_strings(LEADS.values()), place), line))
+    found = _with(_code(text), lambda code: F.regexp_extract_all(_body(code), F.lit(T.EVENT), F.lit(0)))
     parts = F.transform(
         found,
         lambda e: F.struct(
@@ -146,7 +200,12 @@ def with_events(states: DataFrame) -> DataFrame:
         )
 
     events = F.filter(F.transform(parts, event), lambda x: x["kind"] != "none")
-    return states.withColumn("events", F.coalesce(events, F.array().cast(NO_EVENTS)))
+    return F.coalesce(events, F.array().cast(NO_EVENTS))
+
+
+def with_events(states: DataFrame) -> DataFrame:
+    """Add ``events``: what a line opens, ends and names, as (kind, restriction, name) in order."""
+    return states.withColumn("events", _events(F.col("line"), F.col("state")))
 
 
 def _names_put_on(event: Column) -> Column:
@@ -198,6 +257,73 @@ def nested(lines: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def _begun(items: Column, start: str, after: Callable[[Column, Column], Column]) -> Column:
+    """For each item the text state in which it begins.
+
+    States are gathered in one text: an array would be copied with all of its strings at each step.
+    """
+    states = F.aggregate(
+        items,
+        F.struct(F.lit(start).alias("now"), F.lit("").alias("out")),
+        lambda acc, x: F.struct(after(acc["now"], x).alias("now"), F.concat(acc["out"], acc["now"], F.lit("\x02")).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.split(states, "\x02")
+
+
+def _marked_names_after(names: Column, event: Column) -> Column:
+    """:func:`_names_after` one event, for names in one text, with \\x01 before each."""
+    last = F.substring_index(names, "\x01", -1)
+    put_on = F.when(event["kind"] == "within", F.replace(event["name"], F.lit("."), F.lit("\x01"))).otherwise(event["name"])
+    return (
+        F.when(event["kind"] == "end", F.substring(names, F.lit(1), F.length(names) - F.length(last) - 1))
+        .when(event["kind"].isin("open", "within"), F.concat(names, F.lit("\x01"), put_on))
+        .otherwise(names)
+    )
+
+
+def _short_nested(texts: DataFrame) -> DataFrame:
+    """:func:`nested` of texts that are each a whole file and are read through in their row."""
+    held = F.zip_with("_lines", "_states", lambda line, state: _events(line, state))
+
+    def moved(names: Column, events: Column) -> Column:
+        return F.when(F.size(events) > 0, F.aggregate(events, names, _marked_names_after)).otherwise(names)
+
+    read = texts.select("file", T.lines(_unmarked(F.col("text"))).alias("_lines"))
+    read = read.withColumn("_states", F.slice(_begun(F.col("_lines"), "C", _state_after), F.lit(1), F.size("_lines")))
+    read = read.withColumn("_events", held).withColumn("_scopes", _begun(F.col("_events"), "", moved))
+    scopes = F.slice("_scopes", F.lit(1), F.size("_lines")).alias("_scopes")
+    lines = read.select("file", F.posexplode(F.arrays_zip("_lines", "_states", "_events", scopes)).alias("pos", "x"))
+    scope = F.col("x._scopes")
+    names = F.when(scope == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(scope, F.lit(2), F.length(scope)), "\x01"))
+    return lines.select(
+        "file", (F.col("pos") + 1).alias("line_no"), F.col("x._lines").alias("line"), F.col("x._states").alias("state"),
+        F.col("x._events").alias("events"), names.alias("scope"),
+    )
+
+
+def nested_texts(files: DataFrame, size: int = SIZE) -> DataFrame:
+    """:func:`nested` of the lines of (file, text).
+
+    Only files of more than ``size`` lines, and those that come in several rows, go through the scans.
+    The texts are spread first, as the rows that they are written from may lie in few splits.
+    """
+    texts = files.select("file", "text").repartition(partitions(files), "file")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    counts = texts.groupBy("file").agg(F.count(F.lit(1)).alias("_rows"), F.max(n_lines).alias("_lines"))
+    others = stored(counts.filter((F.col("_rows") > 1) | (F.col("_lines") > size)).select(F.col("file").alias("_file")), "files")
+    if others.isEmpty():
+        return stored(_short_nested(texts), "structure")
+    is_other = F.col("file").eqNullSafe(F.col("_file"))
+    scanned = nested(_lines_of(texts.join(others, is_other, "left_semi")), size)
+    return stored(_short_nested(texts.join(others, is_other, "left_anti")), "structure").unionByName(scanned)
+
+
+def _lines_of(texts: DataFrame) -> DataFrame:
+    lines = texts.select("file", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return lines.select("file", (F.col("pos") + 1).alias("line_no"), "line")
+
+
 def dotted(names: Column) -> Column:
     return F.nullif(F.array_join(names, "."), F.lit(""))
 

@@ -76,7 +76,7 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.nested(corpus.corpus_lines(inputs.package_files(spark, sf_dir)))
+    return structure.nested_texts(inputs.package_files(spark, sf_dir))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ def member_access(spark, sf_dir):
         lookup.source_table(part_classes(spark, sf_dir)),
     )
     packages = package_structure(spark, sf_dir)
-    catalogue = structure.classes(packages)
+    catalogue = stored(structure.classes(packages), "classes")
     variables = corpus.scoped_variables(packages, strict=True)
     typed = scopes.scoped_types(variables, catalogue, structure.imports(packages))
     objects = lookup.member_access(

@@ -175,3 +175,37 @@ def test_hot_type_names_and_no_classes(spark):
     assert sorted(r.class_name or "" for r in typed.collect()) == [""] * 200 + ["Common"] * 200
     none = structure.classes(found).limit(0)
     assert scopes.scoped_types(variables, none, structure.imports(found)).filter("class_name IS NOT NULL").count() == 0
+
+
+def test_short_texts_are_read_without_a_shuffle_as_the_scans_read_them(spark, monkeypatch):
+    """Only long files and those in several rows go through the scans; all rows are the same."""
+    rng = random.Random(3)
+    texts = [*CASES.items(), ("odd.mo", "within A..B;\npackage P\x01\r\n  model M\n end M; end P; end Q;\n"), ("none", None)]
+    for i in range(40):
+        pieces = [rng.choice([*PIECES, "\r\n", "/*", "*/"]).replace("{}", str(rng.randint(1, 3))) for _ in range(rng.randint(0, 40))]
+        texts.append((None if i == 7 else f"twice{i % 2}" if i < 4 else f"f{i}", rng.choice(("", " ", "\n")).join(pieces)))
+    files = spark.createDataFrame(texts, "file string, text string")
+    want = sorted(map(str, structure.nested(corpus.corpus_lines(files)).collect()))
+    scanned, scan = [], structure.nested
+
+    def seen(lines, size):
+        scanned.extend(r[0] for r in lines.select("file").distinct().collect())
+        return scan(lines, size)
+
+    monkeypatch.setattr(structure, "nested", seen)
+    for size, others in ((256, {"twice0", "twice1"}), (5, None)):
+        scanned.clear()
+        assert sorted(map(str, structure.nested_texts(files, size).collect())) == want
+        assert set(scanned) == others if others else {"twice0", "twice1", "comment.mo"} - set(scanned) == {"comment.mo"}
+    scanned.clear()
+    structure.nested_texts(files.filter("file LIKE 'f%' OR file = 'odd.mo'"), 256)
+    assert scanned == []
+
+
+def test_each_asked_type_is_numbered_and_stored_once(spark):
+    from loomlight.operators import scopes
+
+    found = structure.nested_texts(spark.createDataFrame([("a", "model A\n  B b;\nend A;\nmodel B end B;\n")], "file string, text string"))
+    typed = scopes.scoped_types(corpus.scoped_variables(found, strict=True), structure.classes(found), structure.imports(found))
+    assert rows(typed, "name", "class_name") == [("b", "B")]
+    assert {"asked", "declared"} <= {f.rsplit("/", 2)[1].split("-")[0] for f in typed.inputFiles()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlight.functions import text as T
 from loomlight.operators.corpus import first_declaration
 from loomlight.operators.ordering import asked_keys, lookup_join, split_join
+from loomlight.session import stored
 
 LIBRARY = "Modelica"  # fixed value: names that start so have no source in the corpus
 
@@ -85,11 +86,11 @@ def declaration_lookup(
     """Where a word is declared: as a class, else as a variable of the request's own file.
 
     ``sources`` maps full class names to files. Variables are looked up first, as the
-    requests are then still a plain table.
+    requests are then still a plain table; the result is stored, as the next look-up counts it first.
     """
     named = requests.withColumn("name", F.col("word"))
     found = asked_declarations(named, variables).select("file", "name", "line_no")
-    local = lookup_join(named, found, ["file", "name"], "left")
+    local = stored(lookup_join(named, found, ["file", "name"], "left"), "local")
     declared = declared_classes(classes, sources).withColumnRenamed("class_name", "name")
     both = lookup_join(local, declared, ["name"], "left", ["req_id"])
     as_class = F.col("class_line").isNotNull()

@@ -256,7 +256,7 @@ def declaration_lookup(spark, sf_dir):
         word.alias("word"),
     ).unionByName(inputs.class_requests(spark, sf_dir))
     catalogue = structure.classes(package_structure(spark, sf_dir))
-    classes = part_classes(spark, sf_dir).unionByName(catalogue, allowMissingColumns=True)
+    classes = stored(part_classes(spark, sf_dir).unionByName(catalogue, allowMissingColumns=True), "classes")
     return lookup.declaration_lookup(
         requests, classes, order_variables(spark, sf_dir), lookup.source_table(classes)
     ).select("req_id", "word", "declared_in", "declared_at")

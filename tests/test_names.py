@@ -131,6 +131,13 @@ def test_declarations_prefer_classes(spark):
     }
 
 
+def test_variables_of_requests_are_looked_up_once_for_both_looks(spark):
+    variables, classes, sources = catalog(spark)
+    found = lookup.declaration_lookup(requests(spark, [("v", "user.mo", 1, "p2")]), classes, variables, sources)
+    assert rows(found, "declared_in", "declared_at") == [("user.mo", 4)]
+    assert any("/local-" in f for f in found.inputFiles())
+
+
 def test_members_of_an_object(spark):
     variables, _, sources = catalog(spark)
     asked = requests(
